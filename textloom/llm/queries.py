@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import line_dedup, packing, simhash, token_counts
+from textloom.llm import decontamination, line_dedup, packing, simhash, token_counts, url_filter
 from textloom.llm.common import LOWER, UPPER, table
 
 
@@ -27,6 +27,20 @@ FROM m GROUP BY rid, doc_id
 """
 
 
+#: (verdict, host, path) in the order given.
+URL_RULES = [
+    ("block", "com", "/en/"),
+    ("allow", "example.com", "/en/7"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
+    ("block", "org", "/es/"),
+]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -37,9 +51,26 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), path, token_counts.new_cache(spark), limit=2048)
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_item", "n_shared", "containment")
+
+
+OP6_SQL = r"""
+WITH dw AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS ws FROM documents),
+iw AS (SELECT row_number() OVER () AS item, item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS ws FROM benchmark),
+ds AS (SELECT DISTINCT rid, doc_id, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT rid, doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 4, 1))) AS i FROM dw WHERE len(ws) > 0)),
+si AS (SELECT DISTINCT item, item_id, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT item, item_id, ws, unnest(generate_series(1, greatest(len(ws) - 4, 1))) AS i FROM iw WHERE len(ws) > 0)),
+n AS (SELECT item, count(*) AS n_item FROM si GROUP BY item),
+m AS (SELECT ds.rid, ds.doc_id, si.item, si.item_id, count(*) AS n_shared FROM ds JOIN si USING (s) GROUP BY ALL)
+SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment
+FROM m JOIN n USING (item) WHERE n_shared / n_item >= 0.8 - 1e-9
+"""
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), window=2048, end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op4_simhash_near_dedup, op5_token_counts, op8_packing)}
-ORACLE_SQL = {"op1_line_dedup": OP1_SQL}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op4_simhash_near_dedup, op5_token_counts, op6_benchmark_decontamination, op8_packing)}
+ORACLE_SQL = {"op1_line_dedup": OP1_SQL, "op6_benchmark_decontamination": OP6_SQL}
