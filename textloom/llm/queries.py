@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import decontamination, line_dedup, packing, simhash, token_counts, url_filter
+from textloom.llm import ann, decontamination, licenses, line_dedup, packing, quality, simhash, token_counts, toxicity, url_filter
 from textloom.llm.common import LOWER, UPPER, table
 
 
@@ -41,6 +41,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_in(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -68,9 +72,35 @@ FROM m JOIN n USING (item) WHERE n_shared / n_item >= 0.8 - 1e-9
 """
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), window=2048, end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op4_simhash_near_dedup, op5_token_counts, op6_benchmark_decontamination, op8_packing)}
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_line_dedup,
+        op2_url_filter,
+        op3_nearest_neighbours,
+        op4_simhash_near_dedup,
+        op5_token_counts,
+        op6_benchmark_decontamination,
+        op7_quality_classifier,
+        op8_packing,
+        op9_license_scan,
+        op10_toxicity,
+    )
+}
 ORACLE_SQL = {"op1_line_dedup": OP1_SQL, "op6_benchmark_decontamination": OP6_SQL}
