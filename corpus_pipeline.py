@@ -1,13 +1,69 @@
-"""The corpus pipeline: five stages over ``documents``."""
+"""The corpus pipeline: ``documents`` in, packed training sequences out.
+
+Each stage works on all that the one before kept, written as Parquet and read
+again.  All but the last return the columns of ``documents``:
+
+1. quality classifier: documents that the weakly supervised scorer rejects go;
+2. line dedup: lines found in ten documents or more go from every document, and
+   n_chars follows;
+3. SimHash near-dedup: of each group the document of smallest id stays;
+4. benchmark decontamination: documents that hold a benchmark item go;
+5. packing: the pieces of the packed sequences.
+
+Null texts count as empty in every stage and stay null where nothing is cut from
+them; extra columns stay; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textloom.llm import decontamination, line_dedup, packing, quality, simhash
+from textloom.llm.common import stored, table
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup_lines(docs, min_docs=10, min_chars=1)
+    cut = F.col("n_dropped") > 0
+    changed = {"text": F.when(cut, F.col("kept_text")).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(cut, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
+    return done.withColumns(changed).select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.keep_one(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), window=2048, end_id=1)
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("line dedup", line_stage),
+    ("SimHash near-dedup", near_duplicate_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
 
-STAGES: list = []
+#: The first and the last stage learn and pack, which SQL can't express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in turn, each one's result written and read again."""
-    raise NotImplementedError
+    """The stages in turn over ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

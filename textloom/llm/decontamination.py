@@ -30,7 +30,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import pick, stored
+from textloom.llm.common import pick, steady, stored
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -104,5 +104,6 @@ def least_shared(n: int, threshold: float = THRESHOLD) -> int:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no item."""
+    docs = steady(docs)
     bad = contaminated(docs, items, threshold, id_col, text_col).select(F.col("rid").alias("__rid")).distinct()
     return docs.withColumn("__rid", F.monotonically_increasing_id()).join(bad, "__rid", "left_anti").drop("__rid")

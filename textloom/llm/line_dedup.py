@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import WHITE, drop_path, new_path, pick, spread_join
+from textloom.llm.common import WHITE, drop_path, new_path, pick, spread_join, steady
 
 RUN_SCHEMA = "h1 long, h2 long, docs long"
 KEY = ["h1", "h2"]
@@ -148,6 +148,7 @@ def _strip(min_chars: int):
 
 def drop_lines(docs: DataFrame, runs: LineRuns, text_col: str = "text") -> DataFrame:
     """``docs`` with kept_text, n_lines and n_dropped."""
+    docs = steady(docs)
     names = [c for c in docs.columns if c not in ("kept_text", "n_lines", "n_dropped")]
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).withColumn("rid", F.monotonically_increasing_id())
     text = f"c{docs.columns.index(text_col)}"
@@ -162,6 +163,7 @@ def drop_lines(docs: DataFrame, runs: LineRuns, text_col: str = "text") -> DataF
 
 def dedup_lines(docs: DataFrame, batches: int = 4, min_docs: int = 10, min_chars: int = 1, text_col: str = "text") -> DataFrame:
     """All of ``docs`` as ``batches`` deliveries, then cleaned (see ``drop_lines``)."""
+    docs = steady(docs)
     runs = LineRuns(docs.sparkSession, min_docs=min_docs, min_chars=min_chars)
     rows = pick(docs, text=text_col).withColumn("batch", F.pmod(F.monotonically_increasing_id(), F.lit(batches)))
     for b in range(batches):

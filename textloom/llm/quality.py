@@ -50,23 +50,27 @@ def _classes() -> np.ndarray:
 CLASSES = _classes()
 N_CLASSES = 7 + len(MARKS)
 TRIGRAM_BUCKETS = ((np.arange(N_CLASSES**3, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(54)).astype(np.int64)
+LETTERS = np.arange(256, dtype=np.uint8)
+UPPERS, LOWERS = (65 <= LETTERS) & (LETTERS <= 90), (97 <= LETTERS) & (LETTERS <= 122)
 SYMBOLS = np.isin(np.arange(256), list(b"|#$%&*/@_=+<>[]{}~^\\`"))
 
 
 def statistics(text: bytes) -> tuple[float, ...]:
     """Of the words: number, share equal to the one before, distinct share, share
     of symbols in the bytes, share without letter or digit, share of up to three
-    bytes, share that end a sentence, mean length, share of long repeats."""
+    bytes, share that end a sentence, share of capitals in ASCII letters, distinct share
+    of word pairs."""
     words = text.split()
     n = len(words)
     if not n:
         return (0.0,) * 9
     octets = np.frombuffer(text, dtype=np.uint8)
     lengths = np.fromiter(map(len, words), np.int64, n)
+    upper = int(UPPERS[octets].sum())
     repeats = sum(map(eq, words, words[1:]))
     ends = text.count(b". ") + text.count(b".\n") + text.count(b"? ") + text.count(b"! ") + text.endswith((b".", b"!", b"?"))
     bare = sum(1 for w in words if len(w) <= 2 and not w.isalnum() and w.isascii())
-    return (float(n), repeats / n, len(set(words)) / n, float(SYMBOLS[octets].mean()), bare / n, float((lengths <= 3).mean()), ends / n, float(lengths.mean()), len(set(zip(words, words[1:]))) / n)
+    return (float(n), repeats / n, len(set(words)) / n, float(SYMBOLS[octets].mean()), bare / n, float((lengths <= 3).mean()), ends / n, float(upper / max(1, upper + int(LOWERS[octets].sum()))), len(set(zip(words, words[1:]))) / n)
 
 
 def _vote(value: float, junk_from: float, good_to: float) -> int:
@@ -77,7 +81,7 @@ def _vote(value: float, junk_from: float, good_to: float) -> int:
 
 def votes(text: bytes) -> list[int]:
     """The labellers' votes on one text."""
-    n, repeats, distinct, symbols, bare, short, ends, length, pairs = statistics(text)
+    n, repeats, distinct, symbols, bare, short, ends, capitals, pairs = statistics(text)
     if n < FEW_WORDS:
         return [ABSTAIN] * N_VOTERS
     return [
@@ -87,7 +91,7 @@ def votes(text: bytes) -> list[int]:
         _vote(bare, 0.15, 0.03),
         _vote(short, 0.06, 0.20),
         _vote(ends, 0.004, 0.02) if n >= 60 else ABSTAIN if ends < 0.02 else GOOD,
-        _vote(length, 14.0, 9.0),
+        _vote(capitals, 0.60, 0.30),
         _vote(pairs, 0.25, 0.60),
     ]
 
@@ -104,7 +108,7 @@ def features(text: bytes) -> np.ndarray:
         x += np.sqrt(np.bincount(TRIGRAM_BUCKETS[codes], minlength=BUCKETS) / len(codes)).astype(np.float32)
     n, *rest = statistics(text)
     for k, value in enumerate(rest):
-        level = int(min(15, value * 16)) if k != 6 else int(min(15, value))
+        level = int(min(15, value * 16))
         x[(k * 7919 + level * 104729 + 12345) % BUCKETS] += 0.5
     return x
 
@@ -112,19 +116,21 @@ def features(text: bytes) -> np.ndarray:
 def fit_label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> np.ndarray:
     """The posterior of good for each pattern (rows of votes), by EM.
 
-    Starts from the share of good votes; estimates P(vote | class) for the three
-    votes of each labeller with add-one smoothing, and the class prior.
+    Starts from the belief that a labeller seldom calls a good document junk, as
+    each looks for one kind of junk alone; estimates P(junk vote | class, a vote)
+    of each labeller with add-one smoothing, and the class prior.  Abstaining says
+    nothing.
     """
-    good, junk = (patterns == GOOD).sum(1), (patterns == JUNK).sum(1)
-    q = (good + 1.0) / (good + junk * 2.0 + 2.0)
+    q = np.where((patterns == JUNK).any(1), 0.1, 0.95)
     for _ in range(rounds):
         log = np.zeros((len(patterns), 2))
         for k, weight in enumerate((1 - q, q)):
             mass = weight * counts
             log[:, k] = np.log((mass.sum() + 1) / (counts.sum() + 2))
             for j in range(patterns.shape[1]):
-                p = np.array([mass[patterns[:, j] == v].sum() + 1.0 for v in range(3)])
-                log[:, k] += np.log(p / p.sum())[patterns[:, j]]
+                junk, good = (mass[patterns[:, j] == v].sum() + 1.0 for v in (JUNK, GOOD))
+                p = np.array([junk / (junk + good), good / (junk + good), 1.0])
+                log[:, k] += np.log(p)[patterns[:, j]]
         new = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -50, 50)))
         if np.abs(new - q).max() < 1e-9:
             break
@@ -135,7 +141,8 @@ def fit_label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100)
 def fit_scorer(x: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 0.05, ridge: float = 1e-4) -> np.ndarray:
     """Weights and, last, bias of a logistic regression on soft labels (Adam)."""
     x = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)])
-    w, m, v = (np.zeros(x.shape[1]) for _ in range(3))
+    y = y.astype(x.dtype)
+    w, m, v = (np.zeros(x.shape[1], dtype=x.dtype) for _ in range(3))
     for t in range(1, rounds + 1):
         g = x.T @ (1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) - y) / len(x) + ridge * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g

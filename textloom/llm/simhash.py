@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import pick, spread_join, stored
+from textloom.llm.common import pick, spread_join, steady, stored
 from textloom.llm.components import components
 
 SEED = 42
@@ -163,6 +163,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without all but one of each component: its smallest
     id's first row (of null ids, any one row that is the same in every attempt)."""
+    docs = steady(docs)
     marked = stored(near_duplicates(docs, id_col, text_col), "near-duplicates")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")
     kept = marked.groupBy("root").agg(first).select(F.col("first.rid").alias("__rid"))

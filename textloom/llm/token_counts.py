@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import new_path, pick, spread_join, stored
+from textloom.llm.common import new_path, pick, spread_join, steady, stored
 from textloom.llm.tokenizing import encoder, file_digest, splits_at_white_space
 
 CACHE_SCHEMA = "content_hi long, content_lo long, tokenizer string, n_tokens long"
@@ -84,7 +84,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache: str, id_col: str =
     """
     spark, key = docs.sparkSession, ["content_hi", "content_lo"]
     version = file_digest(tokenizer_path)
-    rows = pick(docs, doc_id=id_col, text=text_col).withColumn("rid", F.monotonically_increasing_id())
+    rows = pick(steady(docs), doc_id=id_col, text=text_col).withColumn("rid", F.monotonically_increasing_id())
     id_type = rows.schema["doc_id"].dataType.simpleString()
     seen = stored(rows.mapInArrow(partial(_digests, loose=normalises(tokenizer_path)), f"rid long, doc_id {id_type}, n_bytes long, content_hi long, content_lo long"), "digests")
     distinct = stored(seen.groupBy(*key).agg(F.min("rid").alias("rid"), F.count("*").alias("n")), "distinct")
