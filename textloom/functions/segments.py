@@ -16,7 +16,9 @@ import regex
 
 _X = r"[\p{WB=Extend}\p{WB=Format}\p{WB=ZWJ}]*+"
 _LETTER = rf"(?:\p{{WB=ALetter}}{_X}|\p{{WB=Hebrew_Letter}}{_X}(?:\p{{WB=Double_Quote}}{_X}(?=\p{{WB=Hebrew_Letter}}))?)"
-_LETTERS = rf"{_LETTER}(?:(?:[\p{{WB=MidLetter}}\p{{WB=MidNumLet}}\p{{WB=Single_Quote}}]{_X})?{_LETTER})*+(?:(?<=\p{{WB=Hebrew_Letter}}{_X})\p{{WB=Single_Quote}}{_X})?"
+#: Colons part words, but for the languages that write them inside.
+_MIDDLE = r"(?![:\ufe55\uff1a])[\p{WB=MidLetter}\p{WB=MidNumLet}\p{WB=Single_Quote}]"
+_LETTERS = rf"{_LETTER}(?:(?:{_MIDDLE}{_X})?{_LETTER})*+(?:(?<=\p{{WB=Hebrew_Letter}}{_X})\p{{WB=Single_Quote}}{_X})?"
 _DIGITS = rf"\p{{WB=Numeric}}{_X}(?:(?:[\p{{WB=MidNum}}\p{{WB=MidNumLet}}\p{{WB=Single_Quote}}]{_X})?\p{{WB=Numeric}}{_X})*+"
 _KANA = rf"(?:\p{{WB=Katakana}}{_X})++"
 _BLOCK = rf"(?:(?:{_LETTERS}|{_DIGITS})++|{_KANA})"
