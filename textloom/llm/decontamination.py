@@ -68,12 +68,17 @@ def _long_probes(docs: DataFrame) -> DataFrame:
     in generated code without an array of its own.
     """
     n = F.size("ws")
-    rows = docs.where(n >= WORDS)
-    shifted = F.arrays_zip(*(F.slice("ws", F.lit(k + 1), n - (WORDS - 1)).alias(f"w{k}") for k in range(WORDS)))
-    out = rows.select("rid", "doc_id", "text", n.alias("n_words"), F.inline(shifted).alias(*(f"w{k}" for k in range(WORDS))))
+    shifted = F.arrays_zip(*(F.slice("ws", F.lit(k + 1), F.greatest(n - (WORDS - 1), F.lit(0))).alias(f"w{k}") for k in range(WORDS)))
+    out = docs.select("rid", "doc_id", "text", n.alias("n_words"), F.inline(shifted).alias(*(f"w{k}" for k in range(WORDS))))
     return out.select("rid", "doc_id", "text", "n_words", F.xxhash64(F.concat_ws(" ", *(f"w{k}" for k in range(WORDS)))).alias("h"))
 
 
+def _brief_pairs(docs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs of a document and an item of fewer than five words."""
+    alone = docs.where(F.size("ws").between(1, WORDS - 1)).withColumn("h", F.xxhash64(F.array_join("ws", " ")))
+    return alone.join(sketches, "h").select("rid", "doc_id", "text", "item")
+
+
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """rid (document row), doc_id, item_id, n_item, n_shared, containment."""
     index = stored(sketched_items(items, threshold, item_id_col, item_text_col), "sketches")
@@ -86,13 +91,15 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     # a text of w words has at most w - 4 shingles, so it can't hold more
     fits = F.col("n_words") - (WORDS - 1) >= F.col("n_item") * F.lit(threshold) - 1e-9
     found = _long_probes(rows).join(sent(sketches.where(~F.col("short")).drop("short")), "h").where(fits)
-    alone = rows.where(F.size("ws").between(1, WORDS - 1)).select("rid", "doc_id", "text", F.xxhash64(F.array_join("ws", " ")).alias("h"))
-    brief = alone.join(sent(sketches.where("short").select("item", "h")), "h")
-    pairs = found.select("rid", "doc_id", "text", "item").union(brief.select("rid", "doc_id", "text", "item"))
+    pairs = found.select("rid", "doc_id", "text", "item")
+    if index.where("short").count():
+        pairs = pairs.union(_brief_pairs(rows, sent(sketches.where("short").select("item", "h"))))
     candidates = pairs.groupBy("rid", "item").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
 
     both = candidates.join(sent(index.select("item", "item_id", "s", "n_item")), "item")
-    shared = F.size(F.array_intersect(F.col("s"), shingles(words(F.col("text")))))
+    # bound by a lambda, so that the text is split into words once
+    held = F.transform(F.array(words(F.col("text"))), shingles)[0]
+    shared = F.size(F.array_intersect(F.col("s"), held))
     checked = both.select("rid", "doc_id", "item_id", F.col("n_item").cast("long").alias("n_item"), shared.cast("long").alias("n_shared"))
     return checked.withColumn("containment", F.col("n_shared") / F.col("n_item")).where(F.col("containment") >= threshold - 1e-9)
 
