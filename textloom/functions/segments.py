@@ -135,3 +135,9 @@ def ends_from(text: str, start: int, segmenter: Callable[[str, bool], Iterator[i
         if whole:
             return
         window *= 4
+
+
+def first_stop(text: str, start: int, end: int) -> int:
+    """Where the first mark stands that could end a sentence; ``end`` if none."""
+    stop = _STOP.search(text, start, end)
+    return stop.start() if stop else end

@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 from textloom.functions.config import ChunkConfig
-from textloom.functions.segments import LEVELS, ends_from, sentences, words
+from textloom.functions.segments import LEVELS, ends_from, first_stop, sentences, words
 from textloom.functions.sizers import Bytes, Characters
 from textloom.functions.whitespace import KEEP, Trimmer
 from textloom.plans.ranges import Ranges
@@ -64,6 +64,7 @@ class Cutter:
         self.starts: list[int] = []
         self.ends: list[int] = []
         self.sizes: dict[tuple[int, int], int] = {}
+        self.known: dict[Callable, tuple[int, int, int]] = {}
         sizer = config.sizer
         if isinstance(sizer, Characters):
             self.size = self._characters
@@ -162,9 +163,34 @@ class Cutter:
 
     def _fallback_candidates(self) -> Iterator[Candidate]:
         for segmenter in LEVELS:
-            for end in ends_from(self.text, self.cursor, segmenter):
-                yield Candidate(segmenter, end, words if segmenter is sentences else None)
-                break
+            yield Candidate(segmenter, self.first_end(segmenter), words if segmenter is sentences else None)
+
+    def _fallback_ends(self, segmenter: Callable) -> Iterator[int]:
+        """Ends of the segments from the cursor, the first as it is remembered."""
+        first = self.first_end(segmenter)
+        yield first
+        for end in ends_from(self.text, self.cursor, segmenter):
+            if end > first:
+                yield end
+
+    def first_end(self, segmenter: Callable) -> int:
+        """The end of the first segment from the cursor.
+
+        A long word or sentence is cut many times, and its end remembered: from
+        anywhere in a run of ASCII letters the word ends alike, and from well
+        before a sentence's first mark the sentence does.
+        """
+        known = self.known.get(segmenter)
+        if known and known[0] <= self.cursor < known[1]:
+            return known[2]
+        end = next(ends_from(self.text, self.cursor, segmenter))
+        if end - self.cursor > 64:
+            span = self.text[self.cursor : end]
+            if segmenter is words and span.isascii() and span.isalpha():
+                self.known[words] = (self.cursor, end, end)
+            elif segmenter is sentences:
+                self.known[sentences] = (self.cursor, first_stop(self.text, self.cursor, end) - 32, end)
+        return end
 
     def sections(self) -> tuple[Iterator[tuple[int, int]], int | None]:
         """Sections from the cursor on, and the last place where one may start."""
@@ -173,7 +199,7 @@ class Cutter:
         level, limit = self.pick_level(self._plan_candidates(live), lambda lower: (end for _, end in self._plan_sections(live, lower)))
         if level is not None:
             return self._plan_sections(live, level), limit
-        level, own_limit = self.pick_level(self._fallback_candidates(), lambda lower: ends_from(text, cursor, lower))
+        level, own_limit = self.pick_level(self._fallback_candidates(), self._fallback_ends)
         ends = ends_from(text, cursor, level or LEVELS[0])
 
         def cut() -> Iterator[tuple[int, int]]:

@@ -346,8 +346,8 @@ class _Parser:
 
     def footnote(self, views: list[View], i: int, m: re.Match) -> int:
         def own(view: View, first: bool) -> View | None:
-            # one paragraph: its further lines come lazily
-            return (view[0] + m.end(), view[1]) if first else None
+            # one paragraph, whose further lines come lazily, and blank lines
+            return (view[0] + m.end(), view[1]) if first else view if self.blank(view) else None
 
         inner, k = self.contained(views, i, own)
         start = views[i][0] + len(self.line(views[i])) - len(self.line(views[i]).lstrip(" "))

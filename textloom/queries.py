@@ -254,8 +254,8 @@ FROM (SELECT lang, unnest(regexp_extract_all(text, '[\\r\\n]+')) AS run FROM doc
     "trim_indentation": f"SELECT doc_id, '  ' || rtrim(text, {_SPACES}) AS trimmed FROM documents WHERE contains(trim(text, {_SPACES}), chr(10)) UNION ALL SELECT doc_id, trim(text, {_SPACES}) FROM documents WHERE NOT contains(trim(text, {_SPACES}), chr(10))",
     "white_space_only": f"SELECT doc_id, count(*) FILTER (trim(line, {_SPACES}) = '') AS white_lines FROM (SELECT doc_id, unnest(string_split(text || chr(10) || ' ' || chr(9) || chr(10), chr(10))) AS line FROM documents) GROUP BY doc_id",
     "graphemes": "SELECT doc_id, CAST(length_grapheme(text) AS INTEGER) AS graphemes FROM documents",
-    "conversation_chunks": "SELECT role, sum(length(text)) AS chars, count(*) AS turns FROM conversations WHERE text <> '' GROUP BY role",
-    "labels_join": "SELECT quality, toxic, sum(length(text)) AS chars, count(*) AS docs FROM documents JOIN labels USING (doc_id) WHERE text <> '' GROUP BY ALL",
+    "conversation_chunks": "SELECT role, CAST(sum(length(text)) AS BIGINT) AS chars, count(*) AS turns FROM conversations WHERE text <> '' GROUP BY role",
+    "labels_join": "SELECT quality, toxic, CAST(sum(length(text)) AS BIGINT) AS chars, count(*) AS docs FROM documents JOIN labels USING (doc_id) WHERE text <> '' GROUP BY ALL",
     "benchmark_chunks": "SELECT item_id, text FROM benchmark",
 }
 
