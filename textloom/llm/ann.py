@@ -42,9 +42,11 @@ from textloom.llm.common import pick, stored
 SHARD = 5000
 LINKS = 16
 #: The lowest level's lists are this wide.
-LOWEST_LINKS = 32
-CANDIDATES = 48
-BEAM = 160
+LOWEST_LINKS = 48
+CANDIDATES = 72
+BEAM = 96
+#: Nodes of a query's beam that are followed at a time.
+STEP = 4
 ENTRIES = 8
 QUERY_BLOCK = 1024
 QUERIES_AT_ONCE = 256
@@ -108,6 +110,8 @@ class Graph:
 
     def __init__(self, vectors: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]]):
         self.vectors, self.levels = vectors, levels
+        #: What the beam compares; what it finds is scored in double precision.
+        self.coarse = [vectors[nodes].astype(np.float32) for nodes, _ in levels]
 
     @classmethod
     def build(cls, vectors: np.ndarray, seed: int = 0) -> Graph:
@@ -126,7 +130,7 @@ class Graph:
         """Best nodes (positions in the level, -1 beyond) and scores of each query."""
         nodes, links = self.levels[level]
         q, rows = len(queries), np.arange(len(queries))[:, None]
-        x = self.vectors[nodes]
+        x = self.coarse[level]
         seen = np.zeros((q, len(nodes) + 1), dtype=bool)
         seen[:, -1] = True  # where -1 points
         seen[rows, entries] = True
@@ -134,15 +138,20 @@ class Graph:
         scores = np.where(ids >= 0, np.einsum("qd,qkd->qk", queries, x[ids]), -np.inf)
         open_ = ids >= 0
         while True:
+            # the STEP best nodes whose neighbours weren't looked at yet
             live = np.where(open_, scores, -np.inf)
-            pick_ = live.argmax(1)
-            going = np.flatnonzero(live[np.arange(q), pick_] > -np.inf)
+            step = min(STEP, live.shape[1])
+            best = np.argpartition(-live, step - 1, axis=1)[:, :step]
+            going = np.flatnonzero(np.take_along_axis(live, best, 1).max(1) > -np.inf)
             if not len(going):
                 return ids, scores
-            at = pick_[going]
-            open_[going, at] = False
-            near = links[ids[going, at]]
+            best = best[going]
+            use = np.take_along_axis(open_[going], best, 1)
+            open_[going[:, None], best] = False
+            near = np.where(use[:, :, None], links[ids[going[:, None], best]], -1).reshape(len(going), -1)
+            near.sort(axis=1)
             fresh = ~seen[going[:, None], near]
+            fresh[:, 1:] &= near[:, 1:] != near[:, :-1]
             seen[going[:, None], near] = True
             s = np.where(fresh, np.einsum("qd,qkd->qk", queries[going], x[near]), -np.inf)
             all_ids, all_scores = np.concatenate([ids[going], near], 1), np.concatenate([scores[going], s], 1)
@@ -159,7 +168,7 @@ class Graph:
 
     def search(self, queries: np.ndarray, k: int, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
         """Rows of ``vectors`` (-1 where none) and scores, best first."""
-        entries = np.zeros((len(queries), 1), dtype=np.int64)
+        entries, exact, queries = np.zeros((len(queries), 1), dtype=np.int64), queries, queries.astype(np.float32)
         for level in range(len(self.levels) - 1, -1, -1):
             ids, scores = self._beam(level, queries, entries, max(beam, k) if level == 0 else 4 * ENTRIES)
             width = min(k if level == 0 else ENTRIES, ids.shape[1])
@@ -170,7 +179,10 @@ class Graph:
                 found = self.levels[level][0][ids]
                 below = np.searchsorted(self.levels[level - 1][0], found)
                 entries = np.where(ids >= 0, below, -1)
-        return np.where(ids >= 0, self.levels[0][0][ids], -1), scores
+        found = np.where(ids >= 0, self.levels[0][0][ids], -1)
+        scores = np.where(ids >= 0, np.einsum("qd,qkd->qk", exact, self.vectors[found]), -np.inf)
+        order = np.argsort(-scores, axis=1, kind="stable")
+        return np.take_along_axis(found, order, 1), np.take_along_axis(scores, order, 1)
 
 
 INDEX_SCHEMA = "dim int, shard int, vectors binary, ids binary, ends binary, nodes array<binary>, links array<binary>"
@@ -240,7 +252,9 @@ def build_index(rows: DataFrame, k: int, shard: int = SHARD) -> DataFrame:
     distinct = stored(held.withColumn("dim", (F.octet_length("v") / 8).cast("int")), "vectors")
     sizes = distinct.groupBy("dim").agg(F.ceil(F.count("*") / F.lit(shard)).cast("int").alias("shards"))
     dealt = distinct.join(sizes, "dim").withColumn("shard", F.pmod(F.xxhash64("v"), F.col("shards")).cast("int")).drop("shards")
-    return stored(dealt.groupBy("dim", "shard").applyInArrow(_build, INDEX_SCHEMA), "graphs")
+    # as many tasks as shards: small in bytes, long to build
+    tasks = max(1, sizes.agg(F.sum("shards")).first()[0] or 0)
+    return stored(dealt.repartition(tasks, "dim", "shard").groupBy("dim", "shard").applyInArrow(_build, INDEX_SCHEMA), "graphs")
 
 
 def nearest(index: DataFrame, queries: DataFrame, k: int, beam: int = BEAM) -> DataFrame:
