@@ -95,6 +95,12 @@ def sentences(text: str, whole: bool = True) -> Iterator[int]:
 def _after_terminator(text: str, start: int, end: int, whole: bool) -> int:
     """Where the sentence ends after a terminator; minus a position to go on
     from if it doesn't."""
+    # the usual cases: a line break, or a space and an ASCII capital
+    follows = text[end : end + 2]
+    if follows[:1] == "\n":
+        return end + 1
+    if follows[:1] == " " and "A" <= follows[1:] <= "Z":
+        return end + 1
     at = _IGNORED.match(text, end).end()
     aterm = _ATERM.match(text, start)
     if aterm:

@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import re
-from bisect import bisect_left, bisect_right
-
 #: The characters with the Unicode property White_Space.
 WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
-_RUN = re.compile(f"[{WHITE_SPACE}]+")
-_BREAK = re.compile(r"[\r\n]+")
+_WHITE = frozenset(WHITE_SPACE)
 
 KEEP, ALL, INDENTATION = "keep", "all", "indentation"
 
@@ -19,32 +15,32 @@ def is_white(text: str) -> bool:
 
 
 class Trimmer:
-    """Trims spans of one text by the positions of its white-space runs."""
+    """Trims spans of one text; white space is looked at from the ends only, and
+    the last long run of it remembered, so that it isn't walked again."""
 
     def __init__(self, text: str, policy: str):
         self.text, self.policy = text, policy
-        spans = [m.span() for m in _RUN.finditer(text)] if policy != KEEP else []
-        self.starts, self.ends = [s for s, _ in spans], [e for _, e in spans]
-        self.breaks = [m.start() for m in _BREAK.finditer(text)] if policy == INDENTATION else []
-        self.break_ends = [m.end() for m in _BREAK.finditer(text)] if policy == INDENTATION else []
+        self.run = (0, 0)
 
     def trim(self, start: int, end: int) -> tuple[int, int]:
         """The span without white space at its ends, as the policy has it."""
-        if self.policy == KEEP or start >= end:
+        if self.policy == KEEP:
             return start, end
-        i = bisect_right(self.starts, start) - 1
-        first = min(self.ends[i], end) if i >= 0 and start < self.ends[i] else start
-        if first >= end:
+        text = self.text
+        first, last = start, end
+        known, known_end = self.run
+        while first < last and text[first] in _WHITE:
+            first = known_end if known <= first < known_end else first + 1
+        if first - start > 32:
+            self.run = start, first
+        if first >= last:
             return end, end
-        i = bisect_left(self.ends, end)
-        last = max(self.starts[i], first) if i < len(self.starts) and self.starts[i] < end else end
-        if self.policy == INDENTATION and first > start and self._broken(first, last):
-            i = bisect_right(self.breaks, start) - 1
-            first = min(self.break_ends[i], last) if i >= 0 and start < self.break_ends[i] else start
+        while text[last - 1] in _WHITE:
+            last = known if known < last <= known_end else last - 1
+        if end - last > 32:
+            self.run = last, end
+        if self.policy == INDENTATION and first > start and (text.find("\n", first, last) >= 0 or text.find("\r", first, last) >= 0):
+            first = start
+            while text[first] in "\r\n":
+                first += 1
         return first, last
-
-    def _broken(self, start: int, end: int) -> bool:
-        i = bisect_right(self.breaks, start) - 1
-        if i >= 0 and start < self.break_ends[i]:
-            return True
-        return i + 1 < len(self.breaks) and self.breaks[i + 1] < end
