@@ -14,7 +14,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +45,13 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return plain.select(*(F.col(f"c{df.columns.index(name)}").alias(out) for out, name in columns.items()))
 
 
+def utf8(texts: pa.Array) -> Iterator[bytes]:
+    """Each text of a batch as UTF-8, nulls as empty; one at a time, so that a
+    batch isn't held twice."""
+    for text in texts.cast(pa.binary()):
+        yield text.as_py() or b""
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one only where none is set."""
     path = spark.conf.get("spark.checkpoint.dir", None)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import WHITE, drop_path, new_path, pick, spread_join, steady
+from textloom.llm.common import WHITE, drop_path, new_path, pick, spread_join, steady, utf8
 
 RUN_SCHEMA = "h1 long, h2 long, docs long"
 KEY = ["h1", "h2"]
@@ -62,7 +62,7 @@ def _key_counts(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: Counter = Counter()
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
+            for text in utf8(batch.column("text")):
                 counts.update(_doc_keys(text, min_chars))
             hashes = [key_hash(k) for k in counts]
             yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in hashes], pa.int64()), pa.array([h[1] for h in hashes], pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["h1", "h2", "docs"])
@@ -74,7 +74,7 @@ def _row_keys(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rids, h1, h2 = [], [], []
-            for rid, text in zip(batch.column("rid").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+            for rid, text in zip(batch.column("rid").to_pylist(), utf8(batch.column("text")), strict=True):
                 for key in _doc_keys(text, min_chars):
                     a, b = key_hash(key)
                     rids.append(rid)
@@ -131,7 +131,7 @@ def _strip(min_chars: int):
     def run(texts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for text, dropped in texts:
             kept_texts, n_lines, n_dropped = [], [], []
-            for t, gone in zip(text.cast(pa.binary()).to_pylist(), dropped.to_pylist(), strict=True):
+            for t, gone in zip(utf8(text), dropped.to_pylist(), strict=True):
                 lines = _lines(t)
                 kept = lines
                 if gone:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from textloom.llm.common import pick
+from textloom.llm.common import pick, utf8
 from textloom.llm.tokenizing import encoder
 
 OPEN_WINDOWS = 4096
@@ -131,8 +131,8 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, window: int, end_id: int
 
     for batch in batches:
         kind = batch.column("doc_id").type
-        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
-            packer.add(doc, ids(text.as_py() or b"") + end)
+        for doc, text in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text")), strict=True):
+            packer.add(doc, ids(text) + end)
         if packer.out:
             yield rows()
     packer.pour()

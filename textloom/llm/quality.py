@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import pick
+from textloom.llm.common import pick, utf8
 
 #: The scorer is fitted on about so many documents at most.
 SAMPLE = 8000
@@ -152,12 +152,12 @@ def fit_scorer(x: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 0.
 
 def _votes_udf(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for column in texts:
-        yield pa.array(["".join(map(str, votes(t or b""))) for t in column.cast(pa.binary()).to_pylist()], pa.string())
+        yield pa.array(["".join(map(str, votes(t))) for t in utf8(column)], pa.string())
 
 
 def _features_udf(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for column in texts:
-        yield pa.array([features(t or b"").tobytes() for t in column.cast(pa.binary()).to_pylist()], pa.binary())
+        yield pa.array([features(t).tobytes() for t in utf8(column)], pa.binary())
 
 
 def score_column(text: Column, weights: np.ndarray) -> Column:
@@ -167,8 +167,7 @@ def score_column(text: Column, weights: np.ndarray) -> Column:
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in texts:
             out = []
-            for t in column.cast(pa.binary()).to_pylist():
-                t = t or b""
+            for t in utf8(column):
                 few = len(t) < 4096 and len(t.split()) < FEW_WORDS
                 out.append(1.0 if few else 1 / (1 + np.exp(-float(np.clip(features(t) @ w + bias, -30, 30)))))
             yield pa.array(out, pa.float64())

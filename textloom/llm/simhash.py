@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import pick, spread_join, steady, stored
+from textloom.llm.common import pick, spread_join, steady, stored, utf8
 from textloom.llm.components import components
 
 SEED = 42
@@ -65,7 +65,7 @@ def fingerprint(text: bytes) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        values = [fingerprint(t or b"") for t in batch.column("text").cast(pa.binary()).to_pylist()]
+        values = [fingerprint(t) for t in utf8(batch.column("text"))]
         yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), pa.array(values, pa.int64())], names=["rid", "doc_id", "fp"])
 
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import new_path, pick, spread_join, steady, stored
+from textloom.llm.common import new_path, pick, spread_join, steady, stored, utf8
 from textloom.llm.tokenizing import encoder, file_digest, splits_at_white_space
 
 CACHE_SCHEMA = "content_hi long, content_lo long, tokenizer string, n_tokens long"
@@ -55,17 +55,12 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _utf8(column: pa.Array) -> list[bytes]:
-    """Each text as UTF-8, nulls as empty."""
-    return [b if b is not None else b"" for b in column.cast(pa.binary()).to_pylist()]
-
-
 def _digests(batches: Iterator[pa.RecordBatch], loose: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = _utf8(batch.column("text"))
-        pairs = [digest(normal_form(t, loose)) for t in texts]
+        lengths = [len(t) for t in utf8(batch.column("text"))]
+        pairs = [digest(normal_form(t, loose)) for t in utf8(batch.column("text"))]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("rid"), batch.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())],
+            [batch.column("rid"), batch.column("doc_id"), pa.array(lengths, pa.int64()), pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())],
             names=["rid", "doc_id", "n_bytes", "content_hi", "content_lo"],
         )
 
@@ -73,7 +68,7 @@ def _digests(batches: Iterator[pa.RecordBatch], loose: bool) -> Iterator[pa.Reco
 def _counts(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     count = encoder(path).count
     for batch in batches:
-        n = [count(t) for t in _utf8(batch.column("text"))]
+        n = [count(t) for t in utf8(batch.column("text"))]
         yield pa.RecordBatch.from_arrays([batch.column("content_hi"), batch.column("content_lo"), pa.array(n, pa.int64())], names=["content_hi", "content_lo", "n_tokens"])
 
 

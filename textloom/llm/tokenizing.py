@@ -20,8 +20,8 @@ import numpy as np
 
 #: Entries of the word memo: frequent words settle in ``_kept``, later ones
 #: pass through ``_recent``, which is emptied when full.
-MEMO_WORDS = 500_000
-RECENT_WORDS = 100_000
+MEMO_WORDS = 300_000
+RECENT_WORDS = 50_000
 
 #: The configuration under which words can be encoded alone.
 WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -115,7 +115,7 @@ class WordEncoder(LibraryEncoder):
         self.tokenize = self.tok.model.tokenize
         self._kept: dict[bytes, bytes] = {}
         self._recent: dict[bytes, bytes] = {}
-        self._pieces: dict[str, list[int]] = {}
+        self._pieces: dict[str, bytes] = {}
 
     def word(self, word: bytes) -> bytes:
         text = word.decode("utf-8")
@@ -124,17 +124,17 @@ class WordEncoder(LibraryEncoder):
             if max(text) > LATIN_END or "İ" in text:
                 return self.whole(word)
         text = text.lower()
-        out: list[int] = []
+        out: list[bytes] = []
         for piece in [text] if text.isalpha() else self.pieces(text):
             ids = self._pieces.get(piece)
             if ids is None:
                 shown = piece if piece.isascii() and piece.isprintable() else piece.encode("utf-8").decode("latin-1").translate(self.bytes_to_chars)
-                ids = [t.id for t in self.tokenize(shown)]
+                ids = array("I", [t.id for t in self.tokenize(shown)]).tobytes()
                 if len(self._pieces) > MEMO_WORDS:
                     self._pieces.clear()
                 self._pieces[piece] = ids
-            out += ids
-        return array("I", out).tobytes()
+            out.append(ids)
+        return b"".join(out)
 
     def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
         kept, recent = self._kept, self._recent

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import pick
+from textloom.llm.common import pick, utf8
 from textloom.llm.quality import fit_scorer
 
 #: Labelled rows that are learnt from, at most about so many.
@@ -99,8 +99,8 @@ def _entry_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     counts = [Counter(), Counter()]
     for batch in batches:
-        for text, toxic in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            counts[toxic].update(entries_of(words_of(text or b"")))
+        for text, toxic in zip(utf8(batch.column("text")), batch.column("toxic").to_pylist(), strict=True):
+            counts[toxic].update(entries_of(words_of(text)))
             if len(counts[0]) + len(counts[1]) > 500_000:
                 yield out(counts)
                 counts = [Counter(), Counter()]
@@ -146,8 +146,8 @@ def _sample_rows(entries: list[bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(entries)
         for batch in batches:
-            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([lexicon.hits(t) for t in texts], pa.list_(pa.int32())), pa.array([emphasis(t) for t in texts], pa.list_(pa.int32()))], names=["hits", "patterns"])
+            texts = batch.column("text")
+            yield pa.RecordBatch.from_arrays([pa.array([lexicon.hits(t) for t in utf8(texts)], pa.list_(pa.int32())), pa.array([emphasis(t) for t in utf8(texts)], pa.list_(pa.int32()))], names=["hits", "patterns"])
 
     return run
 
@@ -185,8 +185,8 @@ def score_column(text: Column, entries: list[bytes], weights: np.ndarray) -> Col
         lexicon = Lexicon(entries)
         for column in texts:
             out = []
-            for t in column.cast(pa.binary()).to_pylist():
-                hits = lexicon.hits(t or b"")
+            for t in utf8(column):
+                hits = lexicon.hits(t)
                 z = bias + float(w[hits].sum()) + float(w[-1] * np.log1p(len(hits)))
                 out.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
             yield pa.array(out, pa.float64())
