@@ -81,7 +81,27 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "license", F.coalesce("dice", F.lit(0.0)).alias("dice"), F.coalesce("first_word", F.lit(-1)).alias("first_word"), F.array_join("licenses", ",").alias("licenses"))
+
+
+_TEMPLATES = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(licenses.TEMPLATES))
+_BIGRAMS = "list_transform(range(1, len(w)), lambda j: w[j] || ' ' || w[j + 1])"
+OP9_SQL = f"""
+WITH t AS (SELECT n, name, len(w) AS size, list_distinct({_BIGRAMS}) AS tb
+           FROM (SELECT n, name, regexp_extract_all(lower(body), '[\\p{{L}}\\p{{N}}]+') AS w FROM (VALUES {_TEMPLATES}) AS v(n, name, body))),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {_BIGRAMS} AS bg
+      FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents)),
+p AS (SELECT rid, n, name, tb, size, bg FROM d JOIN t ON list_has_any(bg, tb)),
+w AS (SELECT rid, n, name, tb, i, list_distinct(bg[i:i + size - 2]) AS a
+      FROM (SELECT *, unnest(range(1, greatest(len(bg) - size + 2, 1) + 1)) AS i FROM p)),
+s AS (SELECT rid, n, name, i, 2 * len(list_intersect(a, tb)) / (len(a) + len(tb)) AS dice FROM w),
+b AS (SELECT rid, n, name, max(dice) AS dice, min(i) AS i
+      FROM (SELECT *, max(dice) OVER (PARTITION BY rid, n) AS top FROM s) WHERE dice = top AND dice >= {licenses.THRESHOLD} GROUP BY rid, n, name),
+f AS (SELECT rid, arg_min(name, r) AS license, arg_min(dice, r) AS dice, arg_min(i, r) - 1 AS first_word, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses
+      FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY dice DESC, n) AS r FROM b) GROUP BY rid)
+SELECT doc_id, license, coalesce(dice, 0.0) AS dice, coalesce(first_word, -1) AS first_word, coalesce(licenses, '') AS licenses FROM d LEFT JOIN f USING (rid)
+"""
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,4 +123,4 @@ QUERIES = {
         op10_toxicity,
     )
 }
-ORACLE_SQL = {"op1_line_dedup": OP1_SQL, "op6_benchmark_decontamination": OP6_SQL}
+ORACLE_SQL = {"op1_line_dedup": OP1_SQL, "op6_benchmark_decontamination": OP6_SQL, "op9_license_scan": OP9_SQL}
