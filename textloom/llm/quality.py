@@ -3,7 +3,7 @@
 Eight heuristic labellers vote on each document: good, junk, or nothing.  How
 often each pattern of votes occurs (at most 3 ** 8 patterns) is counted over all
 documents; expectation-maximisation on these counts estimates every labeller's
-accuracies and the share of good documents.  The posterior of a document's
+accuracies.  The posterior of a document's
 pattern is its weak label.  A hashed linear scorer, a logistic regression over
 hashed trigrams of character classes and hashed bins of word statistics, is
 trained on the weak labels of at most ``SAMPLE`` documents (chosen by a hash of
@@ -97,6 +97,8 @@ def votes(text: bytes) -> list[int]:
 
 
 N_VOTERS = 8
+#: No labeller is taken to call a larger share of good documents junk.
+MOST_FALSE = 0.01
 
 
 def features(text: bytes) -> np.ndarray:
@@ -118,18 +120,23 @@ def fit_label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100)
 
     Starts from the belief that a labeller seldom calls a good document junk, as
     each looks for one kind of junk alone; estimates P(junk vote | class, a vote)
-    of each labeller with add-one smoothing, and the class prior.  Abstaining says
-    nothing.
+    of each labeller with add-one smoothing.  The share of good documents stays as
+    first believed, and P(junk vote | good) within MOST_FALSE: kinds of junk that
+    only one labeller sees would else drift to the good.  Abstaining says nothing.
     """
     q = np.where((patterns == JUNK).any(1), 0.1, 0.95)
+    prior = np.log([((1 - q) * counts).sum() + 1, (q * counts).sum() + 1])
     for _ in range(rounds):
         log = np.zeros((len(patterns), 2))
         for k, weight in enumerate((1 - q, q)):
             mass = weight * counts
-            log[:, k] = np.log((mass.sum() + 1) / (counts.sum() + 2))
+            log[:, k] = prior[k]
             for j in range(patterns.shape[1]):
                 junk, good = (mass[patterns[:, j] == v].sum() + 1.0 for v in (JUNK, GOOD))
-                p = np.array([junk / (junk + good), good / (junk + good), 1.0])
+                wrong = junk / (junk + good)
+                if k:
+                    wrong = min(wrong, MOST_FALSE)
+                p = np.array([wrong, 1 - wrong, 1.0])
                 log[:, k] += np.log(p)[patterns[:, j]]
         new = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -50, 50)))
         if np.abs(new - q).max() < 1e-9:
