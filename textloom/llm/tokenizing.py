@@ -20,7 +20,7 @@ import numpy as np
 
 #: Entries of the word memo: frequent words settle in ``_kept``, later ones
 #: pass through ``_recent``, which is emptied when full.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 200_000
 RECENT_WORDS = 50_000
 
 #: The configuration under which words can be encoded alone.
