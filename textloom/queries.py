@@ -19,60 +19,67 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, dealt over all cores where they lie in fewer files: cutting
+    costs far more than moving them. With many files nothing is moved."""
+    docs, cores = documents(spark, sf_dir), spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if len(docs.inputFiles()) < cores else docs
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number and mean size of the chunks of 512 characters, by language."""
-    chunks = TextChunker(512).explode(documents(spark, sf_dir), keep=["lang"])
+    chunks = TextChunker(512).explode(dealt(spark, sf_dir), keep=["lang"])
     return chunks.groupBy("lang").agg(F.count("*").alias("chunks"), F.avg(F.char_length("chunk")).alias("mean_chars"))
 
 
 def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return TextChunker(512).explode(documents(spark, sf_dir))
+    return TextChunker(512).explode(dealt(spark, sf_dir))
 
 
 def text_chunks_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return TextChunker((256, 512)).explode(documents(spark, sf_dir))
+    return TextChunker((256, 512)).explode(dealt(spark, sf_dir))
 
 
 def text_chunks_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return TextChunker(512, overlap=128).explode(documents(spark, sf_dir))
+    return TextChunker(512, overlap=128).explode(dealt(spark, sf_dir))
 
 
 def text_chunks_untrimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return TextChunker(512, trim=False).explode(documents(spark, sf_dir))
+    return TextChunker(512, trim=False).explode(dealt(spark, sf_dir))
 
 
 def text_chunks_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return TextChunker(100, sizer=Words()).explode(documents(spark, sf_dir))
+    return TextChunker(100, sizer=Words()).explode(dealt(spark, sf_dir))
 
 
 def text_chunks_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return TextChunker(512, sizer=Bytes()).explode(documents(spark, sf_dir))
+    return TextChunker(512, sizer=Bytes()).explode(dealt(spark, sf_dir))
 
 
 def text_chunks_callback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return TextChunker.from_callback(lambda t: t.count(" ") + 1, 100).explode(documents(spark, sf_dir))
+    return TextChunker.from_callback(lambda t: t.count(" ") + 1, 100).explode(dealt(spark, sf_dir))
 
 
 def text_chunks_tiktoken(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     chunker = TextChunker.from_tiktoken_model(public_tokenizers.path("byte_bpe_50k.tiktoken"), 256, pattern=public_tokenizers.PATTERN)
-    return chunker.explode(documents(spark, sf_dir))
+    return chunker.explode(dealt(spark, sf_dir))
 
 
 def text_chunks_huggingface(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     chunker = TextChunker.from_huggingface_tokenizer_file(public_tokenizers.path("byte_bpe_50k.json"), 256)
-    return chunker.explode(documents(spark, sf_dir))
+    return chunker.explode(dealt(spark, sf_dir))
 
 
 def markdown_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return MarkdownChunker(512).explode(documents(spark, sf_dir))
+    return MarkdownChunker(512).explode(dealt(spark, sf_dir))
 
 
 def code_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return CodeChunker("python", 512).explode(documents(spark, sf_dir))
+    return CodeChunker("python", 512).explode(dealt(spark, sf_dir))
 
 
 def chunk_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +89,7 @@ def chunk_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def first_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first two chunks of each document; the others aren't computed."""
-    return TextChunker(512).explode(documents(spark, sf_dir), max_chunks=2)
+    return TextChunker(512).explode(dealt(spark, sf_dir), max_chunks=2)
 
 
 def udtf_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,13 +120,13 @@ def reassemble_untrimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = TextChunker(CAPACITY).explode(documents(spark, sf_dir), keep=["lang"])
+    chunks = TextChunker(CAPACITY).explode(dealt(spark, sf_dir), keep=["lang"])
     return chunks.groupBy("lang").agg(F.count_if(F.char_length("chunk") > CAPACITY).alias("too_large"), F.count_if(F.char_length("chunk") == 0).alias("empty"))
 
 
 def offset_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether every chunk stands in its text where its offsets say."""
-    chunks = TextChunker(CAPACITY, overlap=64).explode(documents(spark, sf_dir), keep=["doc_id", "text"])
+    chunks = TextChunker(CAPACITY, overlap=64).explode(dealt(spark, sf_dir), keep=["doc_id", "text"])
     there = F.substr("text", F.col("char_offset") + 1, F.char_length("chunk")) == F.col("chunk")
     bytes_before = F.octet_length(F.substr("text", F.lit(1), F.col("char_offset").cast("int"))) == F.col("byte_offset")
     return chunks.groupBy("doc_id").agg(F.bool_and(there & bytes_before).alias("all_there"))
@@ -147,7 +154,7 @@ def native_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents all of whose lines fit: their lines packed greedily."""
     short = F.forall(F.split("text", "\n"), lambda line: F.char_length(line) <= LINES)
-    return TextChunker(LINES).explode(documents(spark, sf_dir).where(short)).select("doc_id", "chunk_index", "chunk")
+    return TextChunker(LINES).explode(dealt(spark, sf_dir).where(short)).select("doc_id", "chunk_index", "chunk")
 
 
 def newline_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,7 +212,7 @@ def conversation_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def labels_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks joined to metadata of their documents."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    sizes = TextChunker(CAPACITY, trim=False).explode(documents(spark, sf_dir)).groupBy("doc_id").agg(F.sum(F.char_length("chunk")).alias("chars"))
+    sizes = TextChunker(CAPACITY, trim=False).explode(dealt(spark, sf_dir)).groupBy("doc_id").agg(F.sum(F.char_length("chunk")).alias("chars"))
     return sizes.join(labels, "doc_id").groupBy("quality", "toxic").agg(F.sum("chars").alias("chars"), F.count("*").alias("docs"))
 
 
