@@ -44,6 +44,17 @@ def test_quality_edges(spark):
     assert quality.classify(nothing(spark)).count() == 0 and quality.keep_good(nothing(spark)).count() == 0
 
 
+def test_quality_of_short_texts(spark):
+    rng = random.Random(4)
+    texts = [prose(rng) if i % 5 else junk(rng) for i in range(400)]
+    texts += [prose(rng, 4) for _ in range(20)] + ["That*** atly.###", "home | login | contact |", "abc### def$$$ ghi%%%", "", " \n", None]
+    got = {r["doc_id"]: r for r in quality.classify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(got[i]["predicted"] == 1 for i in range(400, 420))
+    assert [got[i]["predicted"] for i in range(420, 426)] == [0, 0, 0, 1, 1, 1]
+    votes = quality.votes(b"home | login | contact |")
+    assert votes[3] == quality.JUNK and all(votes[k] == quality.ABSTAIN for k in (1, 4, 5, 6, 7))
+
+
 def test_label_model_finds_each_kind_of_junk():
     g, j, a = quality.GOOD, quality.JUNK, quality.ABSTAIN
     patterns = np.array([[g, g, g], [j, g, g], [g, j, g], [g, g, j], [a, a, a]])

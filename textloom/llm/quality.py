@@ -9,10 +9,11 @@ hashed trigrams of character classes and hashed bins of word statistics, is
 trained on the weak labels of at most ``SAMPLE`` documents (chosen by a hash of
 the text), and scores every document on its whole text.
 
-Defined cases: null text counts as empty.  Texts of fewer than ``FEW_WORDS``
-words get no votes, so their weak label is the share of good documents, and are
-kept (score 1): there is no evidence against them.  Repeated rows each get a
-row.  An empty table gives an empty result.  Columns of the input stay in
+Defined cases: null text counts as empty.  Texts without words get no votes, so
+their weak label is the share of good documents, and are kept (score 1).  On texts
+of fewer than ``FEW_WORDS`` words only the labellers that hold at any length vote
+(repeats, symbols, bare marks); they are scored as any other.  Repeated rows each
+get a row.  An empty table gives an empty result.  Columns of the input stay in
 ``keep_good``; elsewhere extra columns are ignored.
 """
 
@@ -30,6 +31,7 @@ from textloom.llm.common import pick, utf8
 
 #: The scorer is fitted on about so many documents at most.
 SAMPLE = 8000
+#: On fewer words only the labellers that hold at any length vote.
 FEW_WORDS = 8
 BUCKETS = 1024
 GOOD, JUNK, ABSTAIN = 1, 0, 2
@@ -69,7 +71,7 @@ def statistics(text: bytes) -> tuple[float, ...]:
     upper = int(UPPERS[octets].sum())
     repeats = sum(map(eq, words, words[1:]))
     ends = text.count(b". ") + text.count(b".\n") + text.count(b"? ") + text.count(b"! ") + text.endswith((b".", b"!", b"?"))
-    bare = sum(1 for w in words if len(w) <= 2 and not w.isalnum() and w.isascii())
+    bare = sum(1 for w in words if len(w) <= 2 and w.isascii() and not (w[:1].isalnum() or w[1:].isalnum()))
     return (float(n), repeats / n, len(set(words)) / n, float(SYMBOLS[octets].mean()), bare / n, float((lengths <= 3).mean()), ends / n, float(upper / max(1, upper + int(LOWERS[octets].sum()))), len(set(zip(words, words[1:]))) / n)
 
 
@@ -82,17 +84,18 @@ def _vote(value: float, junk_from: float, good_to: float) -> int:
 def votes(text: bytes) -> list[int]:
     """The labellers' votes on one text."""
     n, repeats, distinct, symbols, bare, short, ends, capitals, pairs = statistics(text)
-    if n < FEW_WORDS:
+    if not n:
         return [ABSTAIN] * N_VOTERS
+    few = n < FEW_WORDS
     return [
         _vote(repeats, 0.30, 0.08),
-        _vote(distinct, 0.12, 0.35),
+        ABSTAIN if few else _vote(distinct, 0.12, 0.35),
         _vote(symbols, 0.06, 0.02),
         _vote(bare, 0.15, 0.03),
-        _vote(short, 0.06, 0.20),
-        _vote(ends, 0.004, 0.02) if n >= 60 else ABSTAIN if ends < 0.02 else GOOD,
-        _vote(capitals, 0.60, 0.30),
-        _vote(pairs, 0.25, 0.60),
+        ABSTAIN if few else _vote(short, 0.06, 0.20),
+        ABSTAIN if few else _vote(ends, 0.004, 0.02) if n >= 60 else ABSTAIN if ends < 0.02 else GOOD,
+        ABSTAIN if few else _vote(capitals, 0.60, 0.30),
+        ABSTAIN if few else _vote(pairs, 0.25, 0.60),
     ]
 
 
@@ -175,8 +178,8 @@ def score_column(text: Column, weights: np.ndarray) -> Column:
         for column in texts:
             out = []
             for t in utf8(column):
-                few = len(t) < 4096 and len(t.split()) < FEW_WORDS
-                out.append(1.0 if few else 1 / (1 + np.exp(-float(np.clip(features(t) @ w + bias, -30, 30)))))
+                none = not t or t.isspace()
+                out.append(1.0 if none else 1 / (1 + np.exp(-float(np.clip(features(t) @ w + bias, -30, 30)))))
             yield pa.array(out, pa.float64())
 
     return F.arrow_udf(run, "double")(text)
