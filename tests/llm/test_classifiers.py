@@ -83,6 +83,28 @@ def test_toxicity_on_the_held_out_fold(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_toxicity_by_how_densely_a_family_occurs(spark):
+    rng = random.Random(5)
+    family = [f"ächlich{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+    texts, labels = [], []
+    for i in range(1000):
+        toxic = i % 4 == 0
+        words = prose(rng, 60).split()
+        for _ in range(rng.randint(4, 7) if toxic else rng.random() < 0.2):
+            words.insert(rng.randrange(len(words)), rng.choice(family))
+        texts.append(" ".join(words))
+        labels.append((i, int(toxic)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = toxicity.classify(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).where("held_out").collect()
+    assert len(got) > 100 and all(r["predicted"] == labels[r["doc_id"]][1] for r in got)
+
+
+def test_a_row_counts_by_its_mass():
+    x, y = np.eye(3, dtype=np.float32), np.array([0.1, 0.9, 0.5])
+    again = [0, 0, 1, 2, 2, 2]
+    assert np.allclose(quality.fit_scorer(x, y, mass=np.array([2.0, 1, 3])), quality.fit_scorer(x[again], y[again]), atol=1e-3)
+
+
 def test_toxicity_edges(spark):
     docs = documents(spark, some_texts(20) + edge_texts())
     labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")

@@ -148,13 +148,15 @@ def fit_label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100)
     return q
 
 
-def fit_scorer(x: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 0.05, ridge: float = 1e-4) -> np.ndarray:
-    """Weights and, last, bias of a logistic regression on soft labels (Adam)."""
+def fit_scorer(x: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 0.05, ridge: float = 1e-4, mass: np.ndarray | None = None) -> np.ndarray:
+    """Weights and, last, bias of a logistic regression on soft labels (Adam); a row
+    counts ``mass`` times."""
     x = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)])
     y = y.astype(x.dtype)
+    share = np.full(len(x), 1 / max(1, len(x)), dtype=x.dtype) if mass is None else (mass / mass.sum()).astype(x.dtype)
     w, m, v = (np.zeros(x.shape[1], dtype=x.dtype) for _ in range(3))
     for t in range(1, rounds + 1):
-        g = x.T @ (1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) - y) / len(x) + ridge * w
+        g = x.T @ (share * (1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) - y)) + ridge * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w

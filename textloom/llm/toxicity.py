@@ -1,10 +1,11 @@
 """Operator 10: toxicity by weak supervision.
 
 From labelled rows of the training folds (at most ``SAMPLE`` of them, chosen by
-a hash of the id) a lexicon is learnt: words, and patterns (words that begin with
-given 4, 5 or 6 bytes), that mark toxic documents.  The lexicon is dealt over
-``VOTERS`` voters, each of which votes toxic if a document holds one of its
-entries and else abstains; three pattern voters look at emphasis.  A generative
+a hash of the id) a lexicon is learnt: words, and families (words that begin with the same
+3 to 12 characters), each with how densely it must occur, that mark toxic
+documents.  All that a significance test finds at a false discovery rate of
+``FALSE_SHARE`` are entries.  The lexicon is dealt over ``VOTERS`` voters, each of
+which votes toxic if a document meets one of its entries and else abstains; three pattern voters look at emphasis.  A generative
 label model estimates every voter's accuracies by expectation-maximisation, and
 the voters' correlations within a class; correlated voters count for less.  Its
 posteriors are the labels on which a linear classifier over the lexicon's entries
@@ -23,6 +24,7 @@ are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -36,29 +38,39 @@ from textloom.llm.quality import fit_scorer
 
 #: Labelled rows that are learnt from, at most about so many.
 SAMPLE = 20_000
-LEXICON = 512
 VOTERS = 24
 FOLDS = 5
-#: Entries in fewer toxic documents of the sample are not learnt.
-LEAST_DOCS = 4
-LEAST_LOG_ODDS = 2.5
-PREFIXES = (4, 5, 6)
+#: Of the entries learnt, the share that may be there by chance.
+FALSE_SHARE = 0.01
+#: Prefixes are of so many characters.
+PREFIXES = range(3, 13)
+#: A document meets an entry at level k if occurrences / (words + FEW) is at least
+#: DENSITIES[k]; at level 0 any occurrence does.
+DENSITIES = (0, 1 / 256, 1 / 128, 1 / 64, 1 / 32)
+FEW = 32
 #: Words end at every ASCII byte that is neither letter nor digit.
 BREAKS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
-def words_of(text: bytes) -> set[bytes]:
-    return set(text.lower().translate(BREAKS).split())
+def words_of(text: bytes) -> list[str]:
+    return text.lower().translate(BREAKS).decode("utf-8", "replace").split()
 
 
-def entries_of(words: set[bytes]) -> set[bytes]:
-    """The possible lexicon entries of a text: ``=word`` and prefixes."""
-    out = {b"=" + w for w in words if len(w) <= 40}
-    for k in PREFIXES:
-        out.update(w[:k] for w in words if len(w) > k)
+def entries_of(words: Counter) -> Counter:
+    """How often each possible lexicon entry occurs: ``=word`` and prefixes."""
+    out = Counter()
+    for w, n in words.items():
+        if len(w) <= 40:
+            out["=" + w] += n
+        for k in PREFIXES[: max(0, len(w) - PREFIXES[0])]:
+            out[w[:k]] += n
     return out
 
 
+def level_of(occurrences: int, n_words: int) -> int:
+    return bisect_right(DENSITIES, occurrences / (n_words + FEW)) - 1
+
+
 def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0
 
@@ -71,48 +83,64 @@ def emphasis(text: bytes) -> list[int]:
 
 
 class Lexicon:
-    """Entries and how a text meets them."""
+    """Entries, each with its level, and how a text meets them."""
 
-    def __init__(self, entries: list[bytes]):
-        self.index = {e: i for i, e in enumerate(entries)}
-        self.starts = {(e[1:] if e[:1] == b"=" else e)[:4] for e in entries}
+    def __init__(self, entries: list[tuple[str, int]]):
+        self.index = {e: (i, level) for i, (e, level) in enumerate(entries)}
+        self.starts = {e.removeprefix("=")[: PREFIXES[0]] for e in self.index}
 
     def hits(self, text: bytes) -> list[int]:
-        starts, index, out = self.starts, self.index, set()
-        for w in words_of(text):
-            if w[:4] in starts:
-                out.update(index[e] for e in entries_of({w}) if e in index)
+        starts, index, out = self.starts, self.index, []
+        words = words_of(text)
+        near = Counter({w: n for w, n in Counter(words).items() if w[: PREFIXES[0]] in starts})
+        for e, n in entries_of(near).items():
+            i, level = index.get(e, (0, len(DENSITIES)))
+            if level_of(n, len(words)) >= level:
+                out.append(i)
         return sorted(out)
 
-    def vector(self, hits: list[int]) -> np.ndarray:
-        """An input for each entry and one for how many there are."""
-        x = np.zeros(len(self.index) + 1, dtype=np.float32)
-        x[hits] = 1
-        x[-1] = np.log1p(len(hits))
-        return x
-
 
 def _entry_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents, clean and toxic, that hold an entry at exactly a level."""
+
     def out(counts: list[Counter]) -> pa.RecordBatch:
         keys = list(counts[0].keys() | counts[1].keys())
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *(pa.array([c[k] for k in keys], pa.int64()) for c in counts)], names=["entry", "clean", "toxic"])
+        return pa.RecordBatch.from_arrays([pa.array([k[1:] for k in keys], pa.string()), pa.array([int(k[0]) for k in keys], pa.int32()), *(pa.array([c[k] for k in keys], pa.int64()) for c in counts)], names=["entry", "level", "clean", "toxic"])
 
     counts = [Counter(), Counter()]
     for batch in batches:
         for text, toxic in zip(utf8(batch.column("text")), batch.column("toxic").to_pylist(), strict=True):
-            counts[toxic].update(entries_of(words_of(text)))
-            if len(counts[0]) + len(counts[1]) > 500_000:
+            words = words_of(text)
+            counts[toxic].update(f"{level_of(n, len(words))}{e}" for e, n in entries_of(Counter(words)).items())
+            if len(counts[0]) + len(counts[1]) > 250_000:
                 yield out(counts)
                 counts = [Counter(), Counter()]
     yield out(counts)
 
 
-def learn_lexicon(sample: DataFrame, n_clean: int, n_toxic: int) -> list[bytes]:
-    """The LEXICON entries that say most for toxic, by documents times log odds."""
-    counts = sample.mapInArrow(_entry_counts, "entry binary, clean long, toxic long").groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (n_clean + 1.0))
-    best = counts.where(F.col("toxic") >= LEAST_DOCS).withColumn("odds", odds).where(F.col("odds") >= LEAST_LOG_ODDS)
-    return [bytes(r["entry"]) for r in best.orderBy((F.col("odds") * F.col("toxic")).desc(), "entry").limit(LEXICON).collect()]
+def _evidence(clean: Column, toxic: Column, share: float) -> Column:
+    """-ln of a bound (Chernoff's) on the chance that of the documents with an entry
+    so many are toxic, where each is with probability ``share``."""
+    n = clean + toxic
+    part = lambda x, p: F.when(x > 0, x * F.log(x / n / p)).otherwise(0.0)
+    return F.when(toxic > share * n, part(toxic, share) + part(clean, 1 - share)).otherwise(0.0)
+
+
+def learn_lexicon(sample: DataFrame, n_clean: int, n_toxic: int) -> list[tuple[str, int]]:
+    """The entries that mark toxic documents, each at the level that does so best,
+    by Benjamini and Hochberg's procedure over all entries seen."""
+    levels, share = range(len(DENSITIES)), n_toxic / (n_clean + n_toxic)
+    counts = sample.mapInArrow(_entry_counts, "entry string, level int, clean long, toxic long")
+    met = counts.groupBy("entry").agg(*(F.sum(F.when(F.col("level") >= k, F.col(c)).otherwise(0)).alias(f"{c}{k}") for k in levels for c in ("clean", "toxic")))
+    best = F.greatest(*(F.struct(_evidence(F.col(f"clean{k}"), F.col(f"toxic{k}"), share).alias("e"), F.lit(-k).alias("k")) for k in levels))
+    tested = met.select("entry", best.alias("best")).select("entry", (F.col("best.e") - float(np.log(len(DENSITIES)))).alias("e"), (-F.col("best.k")).alias("level"))
+    # none of less evidence can be accepted: those are only counted
+    found = F.when(F.col("e") >= float(-np.log(FALSE_SHARE)), F.struct("e", "entry", "level"))
+    groups = tested.groupBy(F.floor("e").alias("g")).agg(F.count("*").alias("n"), F.collect_list(found).alias("found")).collect()
+    n = sum(r["n"] for r in groups)
+    ranked = sorted((-x["e"], x["entry"], x["level"]) for r in groups for x in r["found"])
+    accepted = max((k for k, x in enumerate(ranked, 1) if -x[0] >= np.log(n / FALSE_SHARE / k)), default=0)
+    return [(entry, level) for _, entry, level in ranked[:accepted]]
 
 
 def label_model(votes: np.ndarray, prior: float, rounds: int = 50) -> np.ndarray:
@@ -142,7 +170,7 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 50) -> np.ndarray
     return q
 
 
-def _sample_rows(entries: list[bytes]):
+def _sample_rows(entries: list[tuple[str, int]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(entries)
         for batch in batches:
@@ -152,7 +180,7 @@ def _sample_rows(entries: list[bytes]):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[list[bytes], np.ndarray] | None:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[list[tuple[str, int]], np.ndarray] | None:
     """The lexicon and the classifier's weights, from training labels alone."""
     known = pick(labels, doc_id="doc_id", toxic="toxic").where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -165,20 +193,26 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return None
     entries = learn_lexicon(rows, n[0], n[1])
     taken = rows.select("text").mapInArrow(_sample_rows(entries), "hits array<int>, patterns array<int>").limit(4 * sample).toArrow()
-    lexicon, hits = Lexicon(entries), taken.column("hits").to_pylist()
+    hits = taken.column("hits").to_pylist()
     votes = np.zeros((len(hits), VOTERS + 3))
     votes[:, VOTERS:] = np.array(taken.column("patterns").to_pylist())
     for i, found in enumerate(hits):
         votes[i, [h % VOTERS for h in found]] = 1
     y = label_model(votes, n[1] / (n[0] + n[1]))
-    x = np.zeros((len(hits), len(entries) + 1), dtype=np.float32)
-    for i, found in enumerate(hits):
-        x[i, found] = 1
+    # documents that meet the same entries (most meet none) are one row
+    alike = {}
+    for found, p in zip(map(tuple, hits), y, strict=True):
+        n_alike, total = alike.get(found, (0, 0.0))
+        alike[found] = n_alike + 1, total + p
+    x = np.zeros((len(alike), len(entries) + 1), dtype=np.float32)
+    for i, found in enumerate(alike):
+        x[i, list(found)] = 1
         x[i, -1] = np.log1p(len(found))
-    return entries, fit_scorer(x, y)
+    mass, total = np.array(list(alike.values())).T
+    return entries, fit_scorer(x, total / mass, mass=mass)
 
 
-def score_column(text: Column, entries: list[bytes], weights: np.ndarray) -> Column:
+def score_column(text: Column, entries: list[tuple[str, int]], weights: np.ndarray) -> Column:
     w, bias = weights[:-1], float(weights[-1])
 
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
