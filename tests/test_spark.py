@@ -1,4 +1,5 @@
 import os
+import random
 
 import duckdb
 import pytest
@@ -84,6 +85,37 @@ def test_query_runs(spark, name):
 
 
 @pytest.mark.skipif(not os.path.exists(DATA), reason="no test data")
+def pack_lines(text, size):
+    """Lines of words packed greedily; of a line that doesn't fit as many words as do."""
+    chunks, lines = [], text.split("\n")
+    while lines:
+        if len(lines[0]) <= size:
+            n = max(k for k in range(1, len(lines) + 1) if len("\n".join(lines[:k])) <= size)
+            chunks.append("\n".join(lines[:n]))
+            lines = lines[n:]
+        else:
+            words = lines[0].split(" ")
+            n = max(k for k in range(1, len(words) + 1) if len(" ".join(words[:k])) <= size)
+            chunks.append(" ".join(words[:n]))
+            lines[0] = " ".join(words[n:])
+    return chunks
+
+
+def test_lines_beyond_the_capacity_are_packed_too(spark, tmp_path):
+    rng = random.Random(6)
+
+    def line(n):
+        return " ".join("".join(rng.choices("abcdé", k=rng.randint(2, 9))) for _ in range(n))
+
+    texts = ["\n".join(line(rng.choice([3, 20, 60, 70, 150, 400])) for _ in range(rng.randint(1, 12))) for _ in range(60)]
+    assert sum(max(map(len, t.split("\n"))) > queries.LINES for t in texts) > 30
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {}
+    for r in queries.QUERIES["line_packing_all"](spark, str(tmp_path)).orderBy("doc_id", "chunk_index").collect():
+        got.setdefault(r["doc_id"], []).append(r["chunk"])
+    assert got == {i: pack_lines(t, queries.LINES) for i, t in enumerate(texts)}
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 

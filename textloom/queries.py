@@ -157,6 +157,14 @@ def line_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TextChunker(LINES).explode(dealt(spark, sf_dir).where(short)).select("doc_id", "chunk_index", "chunk")
 
 
+def line_packing_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, those with lines that don't fit too, which ``line_packing``
+    leaves out as its SQL does; such lines are cut at lower levels. Without SQL."""
+    cut = dealt(spark, sf_dir).select("doc_id", TextChunker(LINES).column("text").alias("cut"))
+    # for a plain inline Spark infers a filter on the chunks, and cuts each text twice
+    return cut.select("doc_id", F.inline_outer("cut")).where("chunk_index IS NOT NULL").select("doc_id", "chunk_index", "chunk")
+
+
 def newline_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = documents(spark, sf_dir).select("doc_id", F.posexplode(native.newline_runs(F.col("text"))).alias("pos", "run"))
     return runs.select("doc_id", "pos", native.run_level(F.col("run")).alias("level"))
@@ -292,6 +300,7 @@ QUERIES = {
         fixed_windows_overlap,
         native_windows,
         line_packing,
+        line_packing_all,
         newline_runs,
         newline_levels,
         sizer_chars,
