@@ -55,6 +55,21 @@ def test_quality_of_short_texts(spark):
     assert votes[3] == quality.JUNK and all(votes[k] == quality.ABSTAIN for k in (1, 4, 5, 6, 7))
 
 
+def test_quality_sample_keeps_the_share_of_copies(spark, monkeypatch):
+    rng = random.Random(7)
+    texts = [prose(rng) if i % 5 else junk(rng) for i in range(800)]
+    sizes, hot = [], []
+    fit_scorer = quality.fit_scorer
+    monkeypatch.setattr(quality, "fit_scorer", lambda x, y: sizes.append(len(x)) or hot.append(int((x == copy).all(1).sum())) or fit_scorer(x, y))
+    for k in range(6):
+        text = prose(rng)
+        copy = quality.features(text.encode())
+        docs = spark.createDataFrame(list(enumerate(texts + [text] * 800)), "doc_id long, text string")
+        quality.fit(docs.union(docs.limit(50)), sample=200)
+    assert all(120 < n < 280 for n in sizes), sizes
+    assert all(0.3 < h / n < 0.7 for h, n in zip(hot, sizes, strict=True)), (hot, sizes)
+
+
 def test_label_model_finds_each_kind_of_junk():
     g, j, a = quality.GOOD, quality.JUNK, quality.ABSTAIN
     patterns = np.array([[g, g, g], [j, g, g], [g, j, g], [g, g, j], [a, a, a]])

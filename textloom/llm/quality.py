@@ -6,8 +6,9 @@ documents; expectation-maximisation on these counts estimates every labeller's
 accuracies.  The posterior of a document's
 pattern is its weak label.  A hashed linear scorer, a logistic regression over
 hashed trigrams of character classes and hashed bins of word statistics, is
-trained on the weak labels of at most ``SAMPLE`` documents (chosen by a hash of
-the text), and scores every document on its whole text.
+trained on the weak labels of about ``SAMPLE`` documents at most (chosen by a hash
+of text and id, so copies keep their share; rows that repeat both count once), and
+scores every document on its whole text.
 
 Defined cases: null text counts as empty.  Texts without words get no votes, so
 their weak label is the share of good documents, and are kept (score 1).  On texts
@@ -187,9 +188,9 @@ def score_column(text: Column, weights: np.ndarray) -> Column:
     return F.arrow_udf(run, "double")(text)
 
 
-def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> np.ndarray | None:
+def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, id_col: str = "doc_id") -> np.ndarray | None:
     """The scorer's weights; None where there are no documents."""
-    rows = pick(docs, text=text_col)
+    rows = pick(docs, text=text_col, id=id_col)
     voted = rows.select("text", F.arrow_udf(_votes_udf, "string")("text").alias("votes"))
     found = voted.groupBy("votes").agg(F.count("*").alias("n")).orderBy("votes").collect()
     if not found:
@@ -198,8 +199,10 @@ def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> np.nda
     counts = np.array([r["n"] for r in found], dtype=float)
     posterior = dict(zip((r["votes"] for r in found), fit_label_model(patterns, counts), strict=True))
     share = min(1.0, sample / counts.sum())
-    some = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)) + (share >= 1)).where(F.col("text").isNotNull())
-    taken = some.select(F.arrow_udf(_votes_udf, "string")("text").alias("votes"), F.arrow_udf(_features_udf, "binary")("text").alias("x")).limit(2 * sample).collect()
+    row = F.xxhash64("text", "id")
+    some = rows.where(F.pmod(row, F.lit(1 << 40)) < int(share * (1 << 40)) + (share >= 1)).where(F.col("text").isNotNull())
+    taken = some.select(row.alias("row"), F.arrow_udf(_votes_udf, "string")("text").alias("votes"), F.arrow_udf(_features_udf, "binary")("text").alias("x"))
+    taken = sorted(taken.groupBy("row").agg(F.first("votes").alias("votes"), F.first("x").alias("x")).collect(), key=lambda r: r["row"])
     if not taken:
         return None
     x = np.stack([np.frombuffer(r["x"], dtype=np.float32) for r in taken])
@@ -209,12 +212,12 @@ def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> np.nda
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """doc_id, score, predicted (1: good) of each row."""
     rows = pick(docs, doc_id=id_col, text=text_col)
-    weights = fit(docs, text_col)
+    weights = fit(docs, text_col, id_col=id_col)
     score = F.lit(1.0) if weights is None else score_column(F.col("text"), weights)
     return rows.select("doc_id", score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def keep_good(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+def keep_good(docs: DataFrame, text_col: str = "text", threshold: float = 0.5, id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that the classifier doesn't reject."""
-    weights = fit(docs, text_col)
+    weights = fit(docs, text_col, id_col=id_col)
     return docs if weights is None else docs.where(score_column(F.col(text_col), weights) >= threshold)
