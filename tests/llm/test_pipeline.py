@@ -40,6 +40,23 @@ def test_stages_take_effect(spark, tmp_path):
     assert packed == set(ids)
 
 
+def test_texts_of_ten_copies_are_emptied(spark, tmp_path):
+    def text(i):
+        return "\n".join(" ".join(hashlib.md5(f"{i}-{j}-{k}".encode()).hexdigest()[: 3 + k % 5] for k in range(20)) + "." for j in range(3))
+
+    docs = [(i, text(i), "en", "s", 0) for i in range(20)]
+    docs += [(100 + i, text(100), "en", "s", 0) for i in range(12)] + [(200 + i, text(200), "en", "s", 0) for i in range(9)]
+    write(spark, tmp_path, docs)
+    given = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    cut = corpus_pipeline.line_stage(spark, given, str(tmp_path))
+    got = {r["doc_id"]: r["text"] for r in cut.collect()}
+    assert {i for i, t in got.items() if not t.strip()} == set(range(100, 112))
+    assert all(got[i] == t for i, t, *_ in docs if not 100 <= i < 112)
+    cut.write.parquet(f"{tmp_path}/cut")
+    left = {r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, spark.read.parquet(f"{tmp_path}/cut"), str(tmp_path)).collect()}
+    assert left == {*range(20), 100, 200}
+
+
 def test_empty_table(spark, tmp_path):
     write(spark, tmp_path, [])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
