@@ -1,5 +1,8 @@
 import re
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from tests.llm.cases import documents, edge_texts, nothing, rows, some_texts
 from textloom.llm import decontamination
 
@@ -39,12 +42,28 @@ def test_equals_brute_force(spark):
     assert len(want) > 6
 
 
-def test_shuffled_sketches_find_the_same(spark, monkeypatch):
+def test_shuffled_sketches_find_the_same(spark, request):
     docs = documents(spark, [*some_texts(20), f"x {ITEM} y"])
     bench = spark.createDataFrame([(i, t) for i, t in enumerate([*some_texts(5), ITEM, "one"])], "item_id long, text string")
     want = sorted(map(tuple, decontamination.contaminated(docs, bench).collect()), key=repr)
-    monkeypatch.setattr(decontamination, "BROADCAST_ITEMS", 0)
-    assert sorted(map(tuple, decontamination.contaminated(docs, bench).collect()), key=repr) == want
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.autoBroadcastJoinThreshold"))
+    found = decontamination.contaminated(docs, bench, broadcast_bytes=0)
+    assert "BroadcastExchange" not in found._jdf.queryExecution().toString()
+    # row numbers of a table that isn't a file are those of its stored copy
+    assert sorted((tuple(r)[1:] for r in found.collect()), key=repr) == sorted((w[1:] for w in want), key=repr)
+
+
+def test_a_document_reaches_the_partitions_that_it_can_hold(spark):
+    for n_item in (1, 2, 3, 4, 7, 8, 9, 31, 32, 33, 1000):
+        least = -(-8 * n_item // 10) + decontamination.WORDS - 1  # words of a text that holds just enough
+        got = spark.range(1).select(decontamination.reach(F.lit(least), 0.8).alias("r")).first()["r"]
+        assert got >= int(np.log2(n_item))
+    items = spark.createDataFrame([(0, ITEM), (1, "a b c d e f"), (2, None)], "item_id long, text string")
+    index = decontamination.sketched_items(items, 0.8, "item_id", "text")
+    found = index.select("part", F.explode("sketch").alias("h"))
+    bound = decontamination.bounds(found)
+    assert bound == sorted(bound) and bound[0] == -(1 << 63) and bound[-1] == max(r["h"] for r in found.collect())
 
 
 def test_clean_documents_stay(spark):

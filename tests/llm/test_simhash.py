@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from tests.llm.cases import documents, edge_texts, nothing, rows, some_texts
@@ -77,10 +78,32 @@ def test_long_lists_are_worked_off_in_blocks(spark, monkeypatch):
     assert got == classes(fps, brute_components(fps))
 
 
+@pytest.mark.parametrize("at_once", [1 << 18, 50])
+def test_tally_finds_the_linked_pairs_of_each_list(monkeypatch, at_once):
+    monkeypatch.setattr(simhash, "PAIRS_AT_ONCE", at_once)
+    rng = np.random.default_rng(2)
+    lists, triples, fps = [], [], []
+    for k in range(40):
+        t = k % len(simhash.TRIPLES)
+        mask = np.uint64(simhash._mask(simhash.TRIPLES[t]) % 2**64)
+        base = rng.integers(0, 2**63, 3).astype(np.uint64)
+        base = (base & ~mask) | (base[0] & mask)
+        for f in {int(b) ^ int(rng.integers(0, 2)) << int(p) ^ 1 << int(q) for b in base for p, q in rng.integers(0, 64, (6, 2))}:
+            if (f ^ int(base[0])) & int(mask) == 0:
+                lists.append(k), triples.append(t), fps.append(f)
+    lists, triples, fps = np.array(lists), np.array(triples), np.array(fps, dtype=np.uint64)
+    got = {tuple(p) for pairs in simhash.linked_pairs(lists, triples, fps) for p in pairs.T.tolist()}
+    n = len(fps)
+    want = {(i, j) for i in range(n) for j in range(i + 1, n) if lists[i] == lists[j] and (int(fps[i]) ^ int(fps[j])).bit_count() <= 3}
+    assert got == want and len(want) > 50
+
+
 def test_forest_keeps_components():
     rng = np.random.default_rng(2)
-    fps = rng.integers(0, 2**20, 300).astype(np.uint64)
-    u, v = simhash.forest(fps)
+    fps = np.unique(rng.integers(0, 2**20, 300)).astype(np.uint64)
+    a, b = np.array([(i, j) for i in range(len(fps)) for j in range(i) if (int(fps[i]) ^ int(fps[j])).bit_count() <= 3]).T
+    u, v = simhash.forest(a, b, fps)
+    assert len(u) < len(fps)
     root = {int(a): int(b) for a, b in zip(u, v, strict=True)}
     want = brute_components([int(f) for f in fps])
     assert len({root.get(int(f), int(f)) for f in fps}) == len(set(want))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from textloom.llm.common import pick, utf8
+from textloom.llm.common import pick, trimmed, utf8
 from textloom.llm.tokenizing import encoder
 
 OPEN_WINDOWS = 4096
@@ -119,6 +119,7 @@ class Packer:
         self.n_open = 0
 
 
+@trimmed
 def _pack(batches: Iterator[pa.RecordBatch], path: str, window: int, end_id: int) -> Iterator[pa.RecordBatch]:
     packer = Packer(window, TaskContext.get().partitionId() * SEQUENCES_A_TASK)
     ids, end, kind = encoder(path).ids, end_id.to_bytes(4, "little"), None

@@ -1,6 +1,7 @@
 """Operator 5: token counts through a digest cache.
 
-The cache is a table (content digest, tokenizer digest, n_tokens).  A content
+The cache is a table (content digest, tokenizer digest, n_tokens), in a folder a
+tokenizer, so that only the counts of the tokenizer in use are read.  A content
 digest is taken of the normalised text, a tokenizer digest of the tokenizer's
 file.  ``count_tokens`` joins the digests to the stored counts, encodes each
 distinct missing text once, appends the new counts and returns a count a row.
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import new_path, pick, spread_join, steady, stored, utf8
+from textloom.llm.common import RID, new_path, pick_numbered, spread_join, stored, trimmed, utf8
 from textloom.llm.tokenizing import encoder, file_digest, splits_at_white_space
 
 CACHE_SCHEMA = "content_hi long, content_lo long, tokenizer string, n_tokens long"
@@ -55,6 +56,7 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+@trimmed
 def _digests(batches: Iterator[pa.RecordBatch], loose: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lengths = [len(t) for t in utf8(batch.column("text"))]
@@ -65,6 +67,7 @@ def _digests(batches: Iterator[pa.RecordBatch], loose: bool) -> Iterator[pa.Reco
         )
 
 
+@trimmed
 def _counts(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     count = encoder(path).count
     for batch in batches:
@@ -79,15 +82,15 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache: str, id_col: str =
     """
     spark, key = docs.sparkSession, ["content_hi", "content_lo"]
     version = file_digest(tokenizer_path)
-    rows = pick(steady(docs), doc_id=id_col, text=text_col).withColumn("rid", F.monotonically_increasing_id())
+    rows = pick_numbered(docs, doc_id=id_col, text=text_col)
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    seen = stored(rows.mapInArrow(partial(_digests, loose=normalises(tokenizer_path)), f"rid long, doc_id {id_type}, n_bytes long, content_hi long, content_lo long"), "digests")
+    seen = stored(rows.mapInArrow(partial(_digests, loose=normalises(tokenizer_path)), f"rid {RID}, doc_id {id_type}, n_bytes long, content_hi long, content_lo long"), "digests")
     distinct = stored(seen.groupBy(*key).agg(F.min("rid").alias("rid"), F.count("*").alias("n")), "distinct")
 
     known = read_cache(spark, cache).where(F.col("tokenizer") == version).select(*key, "n_tokens")
     misses = distinct.join(known, key, "left_anti").select("rid", *key)
     texts = rows.select("rid", "text").join(misses, "rid")
-    texts.mapInArrow(partial(_counts, path=tokenizer_path), "content_hi long, content_lo long, n_tokens long").select(*key, F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
+    texts.mapInArrow(partial(_counts, path=tokenizer_path), "content_hi long, content_lo long, n_tokens long").select(*key, F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").partitionBy("tokenizer").parquet(cache)
 
     known = read_cache(spark, cache).where(F.col("tokenizer") == version).groupBy(*key).agg(F.max("n_tokens").alias("n_tokens"))
     counts = distinct.select(*key, "n").join(known, key)
@@ -96,7 +99,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache: str, id_col: str =
 
 
 def read_cache(spark: SparkSession, cache: str) -> DataFrame:
-    """The stored counts; none where the folder is missing or empty."""
+    """The stored counts; none where the folder is missing."""
     where = spark._jvm.org.apache.hadoop.fs.Path(cache)
     if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
         return spark.createDataFrame([], CACHE_SCHEMA)
