@@ -11,17 +11,20 @@ again.  All but the last return the columns of ``documents``:
 5. packing: the pieces of the packed sequences.
 
 Null texts count as empty in every stage and stay null where nothing is cut from
-them; extra columns stay; an empty table gives an empty result.
+them; very long texts are taken whole.  Repeated rows and repeated or null ids are
+rows of their own in every stage: each counts as a document for the lines, and near
+duplicates of one id leave its first row.  Of equal texts that of the smallest id
+stays.  Extra columns stay as they are, whatever their names, those like a column
+that an operator adds included.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from textloom.llm import decontamination, line_dedup, packing, quality, simhash
-from textloom.llm.common import stored, table
+from textloom.llm.common import drop_path, new_path, scratch, stored, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,12 +32,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    done = line_dedup.dedup_lines(docs, min_docs=10, min_chars=1)
-    cut = F.col("n_dropped") > 0
-    changed = {"text": F.when(cut, F.col("kept_text")).otherwise(F.col("text"))}
-    if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(cut, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
-    return done.withColumns(changed).select(*docs.columns)
+    return line_dedup.cut_lines(docs, "text", "n_chars", min_docs=10, min_chars=1)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,8 +60,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in turn over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages in turn over ``documents``; what a stage stored for itself, and
+    its input, go when its result is stored."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = new_path(spark, name.replace(" ", "-"))
+        with scratch(spark):
+            docs = stored(stage(spark, docs, sf_dir), name, path)
+        if before:
+            drop_path(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
