@@ -187,7 +187,7 @@ def drop_stored(df: DataFrame) -> None:
             drop_path(df.sparkSession, path)
 
 
-def hash_row(df: DataFrame, share: float, *columns: str) -> Column:
+def hash_row(share: float, *columns: str) -> Column:
     """Whether a row is in a sample of ``share`` that is the same in every attempt."""
     return F.pmod(F.xxhash64(*columns), F.lit(1 << 40)) < int(share * (1 << 40)) + (share >= 1)
 

@@ -3,23 +3,26 @@
 Eight heuristic labellers vote on each document: good, junk, or nothing.  How
 often each pattern of votes occurs (at most 3 ** 8 patterns) is counted over all
 documents; expectation-maximisation on these counts estimates every labeller's
-accuracies.  The posterior of a document's
+accuracies and the share of good documents.  The posterior of a document's
 pattern is its weak label.  A hashed linear scorer, a logistic regression over
 hashed trigrams of character classes and hashed bins of word statistics, is
 trained on the weak labels of about ``SAMPLE`` documents at most (chosen by a hash
-of text and id, so copies keep their share; rows that repeat both count once), and
-scores every document on its whole text.
+of the row's number, so copies keep their share), and scores every document on its
+whole text.  Votes and the sample's features are taken in one pass over the texts.
 
 Defined cases: null text counts as empty.  Texts without words get no votes, so
 their weak label is the share of good documents, and are kept (score 1).  On texts
 of fewer than ``FEW_WORDS`` words only the labellers that hold at any length vote
-(repeats, symbols, bare marks); they are scored as any other.  Repeated rows each
-get a row.  An empty table gives an empty result.  Columns of the input stay in
-``keep_good``; elsewhere extra columns are ignored.
+(repeats, symbols, bare marks); they are scored as any other.  Repeated rows and repeated
+or null ids each get a row.  Texts of any length are taken whole.  A score of
+exactly the threshold is good.  An empty table gives an empty result.  Columns of
+the input stay in ``keep_good``, whatever their names; elsewhere extra columns are
+ignored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from operator import eq
 
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import pick, utf8
+from textloom.llm.common import hash_row, numbered, originals, pick, stored, trimmed, utf8
 
 #: The scorer is fitted on about so many documents at most.
 SAMPLE = 8000
@@ -101,8 +104,11 @@ def votes(text: bytes) -> list[int]:
 
 
 N_VOTERS = 8
-#: No labeller is taken to call a larger share of good documents junk.
-MOST_FALSE = 0.01
+#: What is believed beforehand of each labeller: the share of good documents that
+#: it calls junk.  This, and that documents with a junk vote are junk and no others,
+#: is believed as firmly as if BELIEF times all documents had shown it.
+FALSE_JUNK = 0.0002
+BELIEF = 1.0
 
 
 def features(text: bytes) -> np.ndarray:
@@ -119,28 +125,29 @@ def features(text: bytes) -> np.ndarray:
     return x
 
 
-def fit_label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> np.ndarray:
+def fit_label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> np.ndarray:
     """The posterior of good for each pattern (rows of votes), by EM.
 
-    Starts from the belief that a labeller seldom calls a good document junk, as
-    each looks for one kind of junk alone; estimates P(junk vote | class, a vote)
-    of each labeller with add-one smoothing.  The share of good documents stays as
-    first believed, and P(junk vote | good) within MOST_FALSE: kinds of junk that
-    only one labeller sees would else drift to the good.  Abstaining says nothing.
+    Estimates the share of good documents and, of each labeller, P(junk vote |
+    class, a vote), as the most probable ones given beta priors.  These say that
+    a labeller seldom calls a good document junk (``FALSE_JUNK``), as each looks for
+    one kind of junk alone; kinds that only one labeller sees would else drift to
+    the good.  They weigh as much as a share of the data, so the model is alike at
+    every size.  Abstaining says nothing.
     """
-    q = np.where((patterns == JUNK).any(1), 0.1, 0.95)
-    prior = np.log([((1 - q) * counts).sum() + 1, (q * counts).sum() + 1])
+    flagged = (patterns == JUNK).any(1)
+    q = np.where(flagged, 0.1, 0.95)
+    firm = BELIEF * counts.sum()
+    believed = firm * (counts * flagged).sum() / counts.sum(), firm * (counts * ~flagged).sum() / counts.sum()
     for _ in range(rounds):
         log = np.zeros((len(patterns), 2))
-        for k, weight in enumerate((1 - q, q)):
-            mass = weight * counts
-            log[:, k] = prior[k]
+        for k, mass in enumerate(((1 - q) * counts, q * counts)):
+            log[:, k] = np.log(mass.sum() + believed[k] + 1)
             for j in range(patterns.shape[1]):
                 junk, good = (mass[patterns[:, j] == v].sum() + 1.0 for v in (JUNK, GOOD))
-                wrong = junk / (junk + good)
                 if k:
-                    wrong = min(wrong, MOST_FALSE)
-                p = np.array([wrong, 1 - wrong, 1.0])
+                    junk, good = junk + firm * FALSE_JUNK, good + firm * (1 - FALSE_JUNK)
+                p = np.array([junk, good, junk + good]) / (junk + good)
                 log[:, k] += np.log(p)[patterns[:, j]]
         new = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -50, 50)))
         if np.abs(new - q).max() < 1e-9:
@@ -163,20 +170,40 @@ def fit_scorer(x: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 0.
     return w
 
 
-def _votes_udf(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for column in texts:
-        yield pa.array(["".join(map(str, votes(t))) for t in utf8(column)], pa.string())
+VOTES = "votes string, n long, row long, x binary"
+#: Rows with features that are given out at a time (4 KB each).
+SLICE = 256
 
 
-def _features_udf(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for column in texts:
-        yield pa.array([features(t).tobytes() for t in utf8(column)], pa.binary())
+@trimmed
+def _votes_and_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each pattern of votes occurs in a batch, and votes and features of
+    each row that is in the sample."""
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["votes", "n", "row", "x"])
+
+    for batch in batches:
+        counts, rows = Counter(), []
+        for text, row in zip(utf8(batch.column("text")), batch.column("row").to_pylist(), strict=True):
+            found = "".join(map(str, votes(text)))
+            counts[found] += 1
+            if row is not None:
+                rows.append((found, 0, row, features(text).tobytes()))
+                if len(rows) == SLICE:
+                    yield out(rows)
+                    rows = []
+        rows += [(found, n, None, None) for found, n in counts.items()]
+        if rows:
+            yield out(rows)
 
 
 def score_column(text: Column, weights: np.ndarray) -> Column:
     """The score of each text: 0 to 1, higher is better."""
     w, bias = weights[:-1], float(weights[-1])
 
+    @trimmed
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in texts:
             out = []
@@ -188,36 +215,38 @@ def score_column(text: Column, weights: np.ndarray) -> Column:
     return F.arrow_udf(run, "double")(text)
 
 
-def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, id_col: str = "doc_id") -> np.ndarray | None:
+def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> np.ndarray | None:
     """The scorer's weights; None where there are no documents."""
-    rows = pick(docs, text=text_col, id=id_col)
-    voted = rows.select("text", F.arrow_udf(_votes_udf, "string")("text").alias("votes"))
-    found = voted.groupBy("votes").agg(F.count("*").alias("n")).orderBy("votes").collect()
-    if not found:
+    return _fit(numbered(docs), docs.columns.index(text_col), sample)
+
+
+def _fit(plain: DataFrame, text_at: int, sample: int) -> np.ndarray | None:
+    share = min(1.0, sample / max(1, plain.count()))
+    text = F.col(f"c{text_at}")
+    sampled = F.when(hash_row(share, "rid") & text.isNotNull(), F.xxhash64("rid"))
+    seen = stored(plain.select(text.alias("text"), sampled.alias("row")).mapInArrow(_votes_and_features, VOTES), "votes")
+    # at most 3 ** 8 patterns, and about ``sample`` rows
+    found = seen.groupBy("votes").agg(F.sum("n").alias("n")).where("n > 0").orderBy("votes").collect()
+    taken = sorted(seen.where("row IS NOT NULL").select("votes", "row", "x").collect(), key=lambda r: (r["row"], r["votes"]))
+    if not found or not taken:
         return None
     patterns = np.array([[int(c) for c in r["votes"]] for r in found])
     counts = np.array([r["n"] for r in found], dtype=float)
     posterior = dict(zip((r["votes"] for r in found), fit_label_model(patterns, counts), strict=True))
-    share = min(1.0, sample / counts.sum())
-    row = F.xxhash64("text", "id")
-    some = rows.where(F.pmod(row, F.lit(1 << 40)) < int(share * (1 << 40)) + (share >= 1)).where(F.col("text").isNotNull())
-    taken = some.select(row.alias("row"), F.arrow_udf(_votes_udf, "string")("text").alias("votes"), F.arrow_udf(_features_udf, "binary")("text").alias("x"))
-    taken = sorted(taken.groupBy("row").agg(F.first("votes").alias("votes"), F.first("x").alias("x")).collect(), key=lambda r: r["row"])
-    if not taken:
-        return None
     x = np.stack([np.frombuffer(r["x"], dtype=np.float32) for r in taken])
-    return fit_scorer(x, np.array([posterior.get(r["votes"], 1.0) for r in taken]))
+    return fit_scorer(x, np.array([posterior[r["votes"]] for r in taken]))
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """doc_id, score, predicted (1: good) of each row."""
     rows = pick(docs, doc_id=id_col, text=text_col)
-    weights = fit(docs, text_col, id_col=id_col)
+    weights = fit(docs, text_col)
     score = F.lit(1.0) if weights is None else score_column(F.col("text"), weights)
     return rows.select("doc_id", score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def keep_good(docs: DataFrame, text_col: str = "text", threshold: float = 0.5, id_col: str = "doc_id") -> DataFrame:
+def keep_good(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that the classifier doesn't reject."""
-    weights = fit(docs, text_col, id_col=id_col)
-    return docs if weights is None else docs.where(score_column(F.col(text_col), weights) >= threshold)
+    plain, at = numbered(docs), docs.columns.index(text_col)
+    weights = _fit(plain, at, SAMPLE)
+    return docs if weights is None else plain.where(score_column(F.col(f"c{at}"), weights) >= threshold).select(*originals(docs))
