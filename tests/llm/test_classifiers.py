@@ -134,5 +134,5 @@ def test_correlated_voters_count_for_less():
     y = rng.random(2000) < 0.2
     one = np.where(y, rng.random(2000) < 0.7, rng.random(2000) < 0.01)
     votes = np.stack([one, one, one, np.where(y, rng.random(2000) < 0.7, rng.random(2000) < 0.01)], axis=1).astype(float)
-    q = toxicity.label_model(votes, 0.2)
+    q = toxicity.label_model(votes, y.astype(int))
     assert ((q > 0.5) == votes.any(axis=1)).mean() > 0.95

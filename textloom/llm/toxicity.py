@@ -1,15 +1,24 @@
 """Operator 10: toxicity by weak supervision.
 
-From labelled rows of the training folds (at most ``SAMPLE`` of them, chosen by
-a hash of the id) a lexicon is learnt: words, and families (words that begin with the same
-3 to 12 characters), each with how densely it must occur, that mark toxic
-documents.  All that a significance test finds at a false discovery rate of
-``FALSE_SHARE`` are entries.  The lexicon is dealt over ``VOTERS`` voters, each of
-which votes toxic if a document meets one of its entries and else abstains; three pattern voters look at emphasis.  A generative
-label model estimates every voter's accuracies by expectation-maximisation, and
-the voters' correlations within a class; correlated voters count for less.  Its
-posteriors are the labels on which a linear classifier over the lexicon's entries
-is trained; it scores every whole text.
+From labelled rows of the training folds (at most about ``SAMPLE`` of them, chosen
+by a hash of the id, and stored once) a lexicon is learnt: words of up to
+``LONGEST`` characters, and families (words that begin with the same 3 to 12
+characters), each with how densely it must occur, that mark toxic documents.  All
+that a significance test finds at a false discovery rate of ``FALSE_SHARE`` are
+entries.  The entries of one stem and density are one lexicon voter, which votes
+toxic if a document meets one of them and else abstains; a stem is 12 characters, or
+as many fewer as leave ``MOST_VOTERS`` at most.  Three pattern voters look at
+emphasis.
+
+A generative label model estimates by expectation-maximisation how often each voter
+votes in either class, and how voters depend on each other in pairs: within a class
+each voter may depend on one other, those pairs forming the tree of largest
+conditional mutual information.  So voters that repeat each other count about once.
+The training labels enter as prior counts of these rates alone.  Abstaining says
+something only beside a vote of the voter that it depends on, since most voters know
+one language.  The model's posteriors, not the
+labels, are what a linear classifier over the lexicon's entries is trained on; it
+scores every whole text.
 
 Only training labels are used to learn; labels, lang, source and id are never
 inputs of a score.
@@ -18,8 +27,9 @@ Defined cases: null text counts as empty; empty texts get the score of a text
 without entries.  Labels that are null or neither 0 nor 1 are left out; of
 several labels of a document the largest counts.  Without training labels of both
 kinds every score is 0.  A null id is in no training fold, held_out is then null.
-Repeated rows each get a row; an empty table gives an empty result; extra columns
-are ignored.
+Repeated rows each get a row; a score of exactly 0.5 predicts toxic; texts of any
+length are scored whole; an empty table gives an empty result; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -33,12 +43,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import pick, utf8
+from textloom.llm.common import hash_row, pick, pick_numbered, stored, trimmed, utf8
 from textloom.llm.quality import fit_scorer
 
 #: Labelled rows that are learnt from, at most about so many.
 SAMPLE = 20_000
-VOTERS = 24
+MOST_VOTERS = 512
+#: Longer words count by their prefixes alone.
+LONGEST = 40
 FOLDS = 5
 #: Of the entries learnt, the share that may be there by chance.
 FALSE_SHARE = 0.01
@@ -60,7 +72,7 @@ def entries_of(words: Counter) -> Counter:
     """How often each possible lexicon entry occurs: ``=word`` and prefixes."""
     out = Counter()
     for w, n in words.items():
-        if len(w) <= 40:
+        if len(w) <= LONGEST:
             out["=" + w] += n
         for k in PREFIXES[: max(0, len(w) - PREFIXES[0])]:
             out[w[:k]] += n
@@ -100,22 +112,29 @@ class Lexicon:
         return sorted(out)
 
 
+#: Entries that a worker counts before it gives the counts out.
+COUNTED = 40_000
+
+
+@trimmed
 def _entry_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents, clean and toxic, that hold an entry at exactly a level."""
 
-    def out(counts: list[Counter]) -> pa.RecordBatch:
-        keys = list(counts[0].keys() | counts[1].keys())
-        return pa.RecordBatch.from_arrays([pa.array([k[1:] for k in keys], pa.string()), pa.array([int(k[0]) for k in keys], pa.int32()), *(pa.array([c[k] for k in keys], pa.int64()) for c in counts)], names=["entry", "level", "clean", "toxic"])
+    def out(counts: Counter) -> pa.RecordBatch:
+        entries, levels, toxic = zip(*counts, strict=True)
+        n = list(counts.values())
+        return pa.RecordBatch.from_arrays([pa.array(entries, pa.string()), pa.array(levels, pa.int32()), *(pa.array([x if t == k else 0 for x, t in zip(n, toxic, strict=True)], pa.int64()) for k in (0, 1))], names=["entry", "level", "clean", "toxic"])
 
-    counts = [Counter(), Counter()]
+    counts: Counter = Counter()
     for batch in batches:
         for text, toxic in zip(utf8(batch.column("text")), batch.column("toxic").to_pylist(), strict=True):
             words = words_of(text)
-            counts[toxic].update(f"{level_of(n, len(words))}{e}" for e, n in entries_of(Counter(words)).items())
-            if len(counts[0]) + len(counts[1]) > 250_000:
+            counts.update((e, level_of(n, len(words)), toxic) for e, n in entries_of(Counter(words)).items())
+            if len(counts) > COUNTED:
                 yield out(counts)
-                counts = [Counter(), Counter()]
-    yield out(counts)
+                counts = Counter()
+    if counts:
+        yield out(counts)
 
 
 def _evidence(clean: Column, toxic: Column, share: float) -> Column:
@@ -143,71 +162,133 @@ def learn_lexicon(sample: DataFrame, n_clean: int, n_toxic: int) -> list[tuple[s
     return [(entry, level) for _, entry, level in ranked[:accepted]]
 
 
-def label_model(votes: np.ndarray, prior: float, rounds: int = 50) -> np.ndarray:
+def voters_of(entries: list[tuple[str, int]]) -> np.ndarray:
+    """The lexicon voter of each entry: entries of one stem and level are one voter."""
+    for k in [*reversed(PREFIXES), 2, 1, 0]:
+        stems = [(e.removeprefix("=")[:k], level) for e, level in entries]
+        numbers = {s: i for i, s in enumerate(dict.fromkeys(stems))}
+        if len(numbers) <= MOST_VOTERS:
+            break
+    return np.array([numbers[s] for s in stems], dtype=np.int64)
+
+
+#: A pair of voters is taken to depend on each other if twice the documents times
+#: their mutual information is at least this (chi-squared, two degrees, 0.001).
+DEPENDENT = 13.8
+
+
+def dependence_tree(together: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Each voter's parent (-1: none) in the forest of largest mutual information
+    given the class.  ``together``: for each class, how often voters vote together
+    (on the diagonal, alone); ``n``: documents of each class."""
+    k = together.shape[1]
+    gain = np.zeros((k, k))
+    for both, size in zip(together + 0.01, n + 0.04, strict=True):
+        own = np.diag(both)
+        cells = (both, own[:, None] - both, own[None, :] - both, size - own[:, None] - own[None, :] + both)
+        i, j = own[:, None] / size, own[None, :] / size
+        for cell, by_chance in zip(cells, (i * j, i * (1 - j), (1 - i) * j, (1 - i) * (1 - j)), strict=True):
+            cell = np.maximum(cell, 1e-9)
+            gain += cell * np.log(cell / size / np.maximum(by_chance, 1e-12))
+    gain[2 * gain < DEPENDENT] = 0
+    parent, best = np.full(k, -1), np.full(k, -1)
+    most, out = np.zeros(k), np.ones(k, dtype=bool)
+    for _ in range(k):
+        i = int(np.argmax(np.where(out, most, -1)))
+        parent[i] = best[i] if most[i] > 0 else -1
+        out[i] = False
+        nearer = out & (gain[i] > most)
+        most[nearer], best[nearer] = gain[i][nearer], i
+    return parent
+
+
+#: A training label counts for a voter's rates so many times a posterior.
+BELIEF = 1.0
+#: Documents by which dependence on another voter must be shown.
+PAIRS = 1
+
+
+def label_model(votes: np.ndarray, toxic: np.ndarray, rounds: int = 60) -> np.ndarray:
     """Posteriors of toxic from binary votes (documents x voters), by EM.
 
-    Each voter's weight is one over the sum of its correlations with all voters
-    (itself included) within the classes, so a group of voters that repeat each
-    other counts as about one.
+    ``toxic``: the training labels (0 or 1), prior counts of the voters' rates.
     """
+    votes = votes.astype(np.float32)
     n, k = votes.shape
-    q = np.where(votes.any(axis=1), 0.9, 0.02)
-    weight = np.ones(k)
+    known = np.stack([1 - toxic, toxic]).astype(np.float32)
+    odds = np.log(known.sum(1) + 1)[:, None]
+    parent, q = np.full(k, -1), toxic.astype(np.float32)
     for step in range(rounds):
-        pa_, pb = ((votes * m[:, None]).sum(0) for m in (q, 1 - q))
-        p1, p0 = (pa_ + 0.5) / (q.sum() + 1), (pb + 0.5) / ((1 - q).sum() + 1)
-        if step % 10 == 5:
-            centred = votes - (q[:, None] * p1 + (1 - q)[:, None] * p0)
-            c = centred.T @ centred / n
-            s = np.sqrt(np.diag(c)) + 1e-9
-            weight = 1 / np.clip(np.abs(c / s[:, None] / s[None, :]), 0, 1).sum(1)
-        yes, no = np.log(p1 / p0), np.log((1 - p1) / (1 - p0))
-        log = np.log(prior / (1 - prior)) + (votes * (weight * yes) + (1 - votes) * (weight * no)).sum(1)
-        new = 1 / (1 + np.exp(-np.clip(log, -30, 30)))
-        if step > 10 and np.abs(new - q).max() < 1e-6:
+        sides = np.stack([1 - q, q]) + BELIEF * known
+        if step % 10 == 0:
+            parent = dependence_tree(np.stack([(votes * m[:, None]).T @ votes for m in sides]), sides.sum(1))
+            alone, has = np.flatnonzero(parent < 0), np.flatnonzero(parent >= 0)
+            own, above = votes[:, has], votes[:, parent[has]]
+        log = odds + np.zeros((2, n))
+        for y, m in enumerate(sides):
+            p = ((m @ votes) + 0.5) / (m.sum() + 1)
+            log[y] += votes[:, alone] @ np.log(p[alone])
+            if len(has):
+                top = m @ above
+                # beside its parent a voter is believed to vote as ever, as if PAIRS documents had shown it
+                with_top = ((m @ (own * above)) + PAIRS * p[has]) / (top + PAIRS)
+                without = ((m @ (own * (1 - above))) + PAIRS * p[has]) / (m.sum() - top + PAIRS)
+                log[y] += np.where(above > 0, np.where(own > 0, np.log(with_top), np.log(1 - with_top)), own * np.log(without)).sum(1)
+        new = 1 / (1 + np.exp(np.clip(log[0] - log[1], -30, 30)))
+        if step and np.abs(new - q).max() < 1e-6:
             break
         q = new
     return q
 
 
 def _sample_rows(entries: list[tuple[str, int]]):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(entries)
         for batch in batches:
             texts = batch.column("text")
-            yield pa.RecordBatch.from_arrays([pa.array([lexicon.hits(t) for t in utf8(texts)], pa.list_(pa.int32())), pa.array([emphasis(t) for t in utf8(texts)], pa.list_(pa.int32()))], names=["hits", "patterns"])
+            yield pa.RecordBatch.from_arrays([pa.array([lexicon.hits(t) for t in utf8(texts)], pa.list_(pa.int32())), pa.array([emphasis(t) for t in utf8(texts)], pa.list_(pa.int32())), batch.column("toxic")], names=["hits", "patterns", "toxic"])
 
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[list[tuple[str, int]], np.ndarray] | None:
-    """The lexicon and the classifier's weights, from training labels alone."""
+def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int) -> DataFrame:
+    """text and toxic of about ``sample`` rows at most of the training folds, stored."""
     known = pick(labels, doc_id="doc_id", toxic="toxic").where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    share = min(1.0, sample / max(1, known.count()))
-    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + (share >= 1)).limit(2 * sample)
-    # at most 2 * sample rows of two numbers are broadcast
-    rows = pick(docs, doc_id=id_col, text=text_col).join(F.broadcast(known), "doc_id").select("text", "toxic")
+    known = stored(known, "labels")
+    # about ``sample`` rows of two numbers at most are broadcast
+    known = known.where(hash_row(min(1.0, sample / max(1, known.count())), "doc_id"))
+    rows = stored(pick_numbered(docs, doc_id=id_col, text=text_col).join(F.broadcast(known), "doc_id").select("rid", "text", "toxic"), "labelled")
+    # more only where rows share an id
+    return rows.where(hash_row(min(1.0, 2 * sample / max(1, rows.count())), "rid"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[list[tuple[str, int]], np.ndarray] | None:
+    """The lexicon and the classifier's weights, from training labels alone."""
+    rows = labelled_rows(docs, labels, id_col, text_col, sample)
     n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if not n.get(0) or not n.get(1):
         return None
     entries = learn_lexicon(rows, n[0], n[1])
-    taken = rows.select("text").mapInArrow(_sample_rows(entries), "hits array<int>, patterns array<int>").limit(4 * sample).toArrow()
-    hits = taken.column("hits").to_pylist()
-    votes = np.zeros((len(hits), VOTERS + 3))
-    votes[:, VOTERS:] = np.array(taken.column("patterns").to_pylist())
-    for i, found in enumerate(hits):
-        votes[i, [h % VOTERS for h in found]] = 1
-    y = label_model(votes, n[1] / (n[0] + n[1]))
+    taken = rows.select("text", "toxic").mapInArrow(_sample_rows(entries), "hits array<int>, patterns array<int>, toxic int").toArrow()
+    found = sorted(zip(*(taken.column(c).to_pylist() for c in ("hits", "patterns", "toxic")), strict=True))
+    hits, voter = [r[0] for r in found], voters_of(entries)
+    k = int(voter.max(initial=-1)) + 1
+    votes = np.zeros((len(hits), k + 3), dtype=np.int8)
+    votes[:, k:] = np.array([r[1] for r in found])
+    for i, h in enumerate(hits):
+        votes[i, voter[h]] = 1
+    y = label_model(votes, np.array([r[2] for r in found]))
     # documents that meet the same entries (most meet none) are one row
     alike = {}
-    for found, p in zip(map(tuple, hits), y, strict=True):
-        n_alike, total = alike.get(found, (0, 0.0))
-        alike[found] = n_alike + 1, total + p
+    for h, p in zip(map(tuple, hits), y, strict=True):
+        n_alike, total = alike.get(h, (0, 0.0))
+        alike[h] = n_alike + 1, total + p
     x = np.zeros((len(alike), len(entries) + 1), dtype=np.float32)
-    for i, found in enumerate(alike):
-        x[i, list(found)] = 1
-        x[i, -1] = np.log1p(len(found))
+    for i, h in enumerate(alike):
+        x[i, list(h)] = 1
+        x[i, -1] = np.log1p(len(h))
     mass, total = np.array(list(alike.values())).T
     return entries, fit_scorer(x, total / mass, mass=mass)
 
@@ -215,6 +296,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score_column(text: Column, entries: list[tuple[str, int]], weights: np.ndarray) -> Column:
     w, bias = weights[:-1], float(weights[-1])
 
+    @trimmed
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         lexicon = Lexicon(entries)
         for column in texts:
