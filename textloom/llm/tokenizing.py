@@ -20,8 +20,8 @@ import numpy as np
 
 #: Entries of the word memo: frequent words settle in ``_kept``, later ones
 #: pass through ``_recent``, which is emptied when full.
-MEMO_WORDS = 200_000
-RECENT_WORDS = 50_000
+MEMO_WORDS = 100_000
+RECENT_WORDS = 25_000
 
 #: The configuration under which words can be encoded alone.
 WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
