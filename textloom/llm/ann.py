@@ -6,25 +6,35 @@ arrays: the vectors, and for each level its nodes and their neighbours in an
 array of fixed width.  A query descends the levels of every shard and searches
 the lowest with a beam; the shards' results are merged.
 
-Inner product is turned into Euclidean distance for building: each vector gets
-one more coordinate that makes all of a shard equally long.  A node's neighbours
-are chosen from its nearest ones by the usual rule (a candidate is taken if it is
-nearer to the node than to those taken before), links are made both ways, and
-lists that grow too long keep their nearest.  Within its bounded shard the
-candidates are found exactly, in blocks of matrix products.
+A graph grows by insertion.  Nodes come in batches, each at most as large as the
+graph so far: the new nodes search the graph for their nearest, level by level, as
+a query does, and look at the others of their batch besides.  A node's neighbours
+are chosen from what it finds by the usual rule (a candidate is taken if it is
+nearer to the node than to those taken before), links are made both ways, and a
+list that is full gives up its farthest for a nearer one.  So building takes about
+the same time a vector whatever the shard's size.
+
+Inner product is turned into nearness of directions for building: each vector gets
+one more coordinate that makes all of a shard equally long.  Graphs compare in
+single precision, after scaling by the shard's largest component (a query by its
+own), so vectors of any size take part; scores are inner products of the original
+vectors in double precision, infinite where these overflow.
 
 Equal vectors share a node, which holds their smallest ids, as many as an answer
 can show (k + 1, the query's own being left out), so copies neither crowd the
-graph nor drop out of an answer.  Scores are inner products of the original
-vectors in double precision.
+graph nor drop out of an answer.
 
-Memory: a shard's vectors and graph, and a block of QUERY_BLOCK queries.
+Queries go to the shards in blocks: a row holds the ids and vectors of up to
+``QUERY_BLOCK`` queries.  Memory: a shard's vectors and graph, and ``BLOCKS`` blocks.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
 components take no part, neither as queries nor as candidates; vectors are
 compared with those of their own length; rows with a null id take no part.  Rows
-that share the query's id are its own.  A repeated row counts once.  Ties go to
-the smaller id.  An empty table gives an empty result; extra columns are ignored.
+that share the query's id are its own.  A repeated row counts once.  Of several
+vectors under one id each is a candidate, and the best counts; the id's query is
+the least of them, compared component by component.  Ties go to the smaller id.
+Scores that are no number (infinities of both signs) come last.  An empty table
+gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,18 +47,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textloom.llm.common import pick, stored
+from textloom.llm.common import pick, stored, trimmed
 
-SHARD = 5000
+SHARD = 25_000
 LINKS = 16
 #: The lowest level's lists are this wide.
-LOWEST_LINKS = 48
-CANDIDATES = 72
-BEAM = 96
+LOWEST_LINKS = 40
+#: Nodes that are found for a new node, and others of its batch.
+FOUND = 64
+OWN_BATCH = 16
+FIRST = 256
+BATCH = 2048
+BEAM = 160
 #: Nodes of a query's beam that are followed at a time.
 STEP = 4
 ENTRIES = 8
 QUERY_BLOCK = 1024
+#: Blocks that a task takes at a time.
+BLOCKS = 64
 QUERIES_AT_ONCE = 256
 
 
@@ -59,79 +75,147 @@ def _rank_in_group(group: np.ndarray) -> np.ndarray:
     return np.arange(len(group)) - np.repeat(starts, np.diff(np.append(starts, len(group))))
 
 
-def _chosen(x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links (from, to, distance) of each node to its diverse nearest ones."""
-    n, k = len(x), min(CANDIDATES, len(x) - 1)
-    square = (x * x).sum(1)
-    out = []
-    for i in range(0, n, 512):
-        d = square[i : i + 512, None] + square[None, :] - 2 * (x[i : i + 512] @ x.T)
-        rows = np.arange(len(d))
-        d[rows, i + rows] = np.inf
-        near = np.argpartition(d, k - 1, axis=1)[:, :k]
-        near = np.take_along_axis(near, np.argsort(np.take_along_axis(d, near, 1), axis=1, kind="stable"), 1)
-        own = np.take_along_axis(d, near, 1)
-        c = x[near]
-        between = square[near][:, :, None] + square[near][:, None, :] - 2 * np.einsum("bid,bjd->bij", c, c, optimize=True)
-        taken = np.zeros(own.shape, dtype=bool)
-        for j in range(k):
-            free = ~np.any(taken[:, :j] & (between[:, j, :j] <= own[:, j, None]), axis=1)
-            taken[:, j] = free & (taken.sum(1) < width)
-        # room that is left goes to the nearest of the others
-        order = np.argsort(~taken, axis=1, kind="stable")[:, :width]
-        keep = np.zeros_like(taken)
-        np.put_along_axis(keep, order, True, axis=1)
-        r, j = np.nonzero(keep)
-        out.append((r + i, near[r, j], own[r, j]))
-    return tuple(np.concatenate(p) for p in zip(*out, strict=True))
-
-
-def _links(x: np.ndarray, width: int) -> np.ndarray:
-    """Flat neighbour array (nodes x width), -1 where a list ends."""
-    table = np.full((len(x), width), -1, dtype=np.int32)
-    if len(x) > 1:
-        a, b, d = _chosen(x, max(1, width // 2))
-        a, b, d = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([d, d])
-        _, first = np.unique(a.astype(np.int64) * len(x) + b, return_index=True)
-        a, b, d = a[first], b[first], d[first]
-        order = np.lexsort((d, a))
-        a, b = a[order], b[order]
-        rank = _rank_in_group(a)
-        fits = rank < width
-        table[a[fits], rank[fits]] = b[fits]
-    return table
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of each row, best first."""
+    if ids.shape[1] > k:
+        at = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+        ids, scores = np.take_along_axis(ids, at, 1), np.take_along_axis(scores, at, 1)
+    order = np.argsort(-scores, axis=1, kind="stable")
+    return np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
+
+
+def _diverse(x: np.ndarray, near: np.ndarray, score: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links (row, node, score) of each row to its diverse nearest ones; ``near``:
+    candidates, nearest first, -1 where none."""
+    there = near >= 0
+    c = x[near]
+    between = c @ c.transpose(0, 2, 1)
+    taken = np.zeros(near.shape, dtype=bool)
+    for j in range(near.shape[1]):
+        far = ~np.any(taken[:, :j] & (between[:, j, :j] >= score[:, j, None]), axis=1)
+        taken[:, j] = there[:, j] & far & (taken.sum(1) < width)
+    # room that is left goes to the nearest of the others
+    order = np.argsort(np.where(there, ~taken, 2), axis=1, kind="stable")[:, :width]
+    r = np.repeat(np.arange(len(near)), order.shape[1])
+    j = order.ravel()
+    fits = there[r, j]
+    r, j = r[fits], j[fits]
+    return r, near[r, j], score[r, j]
 
 
 class Graph:
     """One shard: vectors and, from the lowest level up, (nodes, neighbours).
 
-    ``nodes`` are rows of ``vectors``; neighbours are positions in ``nodes``.
+    ``nodes`` are rows of ``vectors`` in the order of their insertion; neighbours
+    are positions in ``nodes``.
     """
 
     def __init__(self, vectors: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]]):
         self.vectors, self.levels = vectors, levels
         #: What the beam compares; what it finds is scored in double precision.
-        self.coarse = [vectors[nodes].astype(np.float32) for nodes, _ in levels]
+        self.near = _equally_long(vectors)
+        self.coarse = [self.near[nodes] for nodes, _ in levels]
+        #: Nodes of each level that are in the graph so far.
+        self.size = [len(nodes) for nodes, _ in levels]
 
     @classmethod
     def build(cls, vectors: np.ndarray, seed: int = 0) -> Graph:
-        longest = (vectors * vectors).sum(1)
-        x = np.hstack([vectors, np.sqrt(np.maximum(longest.max() - longest, 0))[:, None]])
-        draw = np.random.default_rng(seed).random(len(x))
-        height = np.floor(-np.log(np.maximum(draw, 1e-12)) / np.log(LINKS)).astype(int)
+        rng, n = np.random.default_rng(seed), len(vectors)
+        order = rng.permutation(n)
+        height = np.floor(-np.log(np.maximum(rng.random(n), 1e-12)) / np.log(LINKS)).astype(int)
         levels, level = [], 0
         while level == 0 or (height >= level).sum() > 1:
-            nodes = np.flatnonzero(height >= level)
-            levels.append((nodes.astype(np.int32), _links(x[nodes], LINKS if level else LOWEST_LINKS)))
+            nodes = order[height >= level].astype(np.int32) if level else order.astype(np.int32)
+            levels.append((nodes, np.full((len(nodes), LINKS if level else LOWEST_LINKS), -1, dtype=np.int32)))
             level += 1
-        return cls(vectors, levels)
+        height = np.minimum(height, level - 1)
+        graph = cls(vectors, levels)
+        graph.size = [0] * level
+        score = [np.full(links.shape, -np.inf, dtype=np.float32) for _, links in levels]
+        done = 0
+        while done < n:
+            to = min(n, done + max(FIRST, min(BATCH, done)))
+            graph._insert(order[done:to], height[done:to], score)
+            done = to
+        return graph
+
+    def _insert(self, rows: np.ndarray, height: np.ndarray, score: list[np.ndarray]) -> None:
+        """Adds a batch, the next of every level's nodes."""
+        x = self.near[rows]
+        found = self._descend(x, FOUND, FOUND)
+        for level in range(len(self.levels)):
+            own = np.flatnonzero(height >= level)
+            size, c = self.size[level], self.coarse[level]
+            if len(own):
+                new = np.arange(size, size + len(own))
+                alike = x[own] @ x[own].T
+                np.fill_diagonal(alike, -np.inf)
+                near, near_score = _best(np.broadcast_to(new, alike.shape), alike, OWN_BATCH if size else FOUND)
+                if size:
+                    ids, s = found[level]
+                    near, near_score = np.concatenate([ids[own], near], 1), np.concatenate([s[own], near_score], 1)
+                near = np.where(near_score > -np.inf, near, -1)
+                near, near_score = _best(near, near_score, FOUND)
+                for i in range(0, len(own), 256):
+                    r, b, s = _diverse(c, near[i : i + 256], near_score[i : i + 256], self.levels[level][1].shape[1] // 2)
+                    a = new[r + i]
+                    self._link(level, np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([s, s]), score[level])
+                self.size[level] = size + len(own)
+
+    def _link(self, level: int, a: np.ndarray, b: np.ndarray, s: np.ndarray, score: np.ndarray) -> None:
+        """Adds links from a to b; a full list gives up its farthest for a nearer one."""
+        links = self.levels[level][1]
+        _, first = np.unique(a.astype(np.int64) * len(links) + b, return_index=True)
+        first = first[~(links[a[first]] == b[first, None]).any(1)]
+        a, b, s = a[first], b[first], s[first]
+        order = np.lexsort((-s, a))
+        a, b, s = a[order], b[order], s[order]
+        rank = _rank_in_group(a)
+        for k in range(min(links.shape[1], int(rank.max(initial=-1)) + 1)):
+            at = rank == k
+            i, j, v = a[at], b[at], s[at]
+            worst = score[i].argmin(1)
+            better = v > score[i, worst]
+            links[i[better], worst[better]] = j[better]
+            score[i[better], worst[better]] = v[better]
+
+    def _descend(self, queries: np.ndarray, k: int, beam: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each level, the k best nodes (positions, -1 where none) and their scores."""
+        out: list[tuple[np.ndarray, np.ndarray]] = [None] * len(self.levels)  # type: ignore[list-item]
+        parts: list[list] = [[] for _ in self.levels]
+        for i in range(0, len(queries), QUERIES_AT_ONCE):
+            q = queries[i : i + QUERIES_AT_ONCE]
+            entries = None
+            for level in range(len(self.levels) - 1, -1, -1):
+                if not self.size[level]:
+                    continue
+                if entries is None:
+                    entries = np.zeros((len(q), 1), dtype=np.int64)
+                ids, scores = _best(*self._beam(level, q, entries, beam), k)
+                ids = np.where(scores > -np.inf, ids, -1)
+                if ids.shape[1] < k:
+                    pad = ((0, 0), (0, k - ids.shape[1]))
+                    ids, scores = np.pad(ids, pad, constant_values=-1), np.pad(scores, pad, constant_values=-np.inf)
+                parts[level].append((ids, scores))
+                if level:
+                    entries = np.where(ids[:, :ENTRIES] >= 0, self.below(level)[ids[:, :ENTRIES]], -1)
+        for level, found in enumerate(parts):
+            if found:
+                out[level] = tuple(np.concatenate(p) for p in zip(*found, strict=True))
+        return out
+
+    def below(self, level: int) -> np.ndarray:
+        """Where a level's nodes are in the level below."""
+        place = np.empty(len(self.vectors), dtype=np.int64)
+        nodes = self.levels[level - 1][0]
+        place[nodes] = np.arange(len(nodes))
+        return place[self.levels[level][0]]
 
     def _beam(self, level: int, queries: np.ndarray, entries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """Best nodes (positions in the level, -1 beyond) and scores of each query."""
-        nodes, links = self.levels[level]
+        links, x = self.levels[level][1], self.coarse[level]
         q, rows = len(queries), np.arange(len(queries))[:, None]
-        x = self.coarse[level]
-        seen = np.zeros((q, len(nodes) + 1), dtype=bool)
+        seen = np.zeros((q, self.size[level] + 1), dtype=bool)
         seen[:, -1] = True  # where -1 points
         seen[rows, entries] = True
         ids = entries
@@ -149,11 +233,14 @@ class Graph:
             use = np.take_along_axis(open_[going], best, 1)
             open_[going[:, None], best] = False
             near = np.where(use[:, :, None], links[ids[going[:, None], best]], -1).reshape(len(going), -1)
+            near[seen[going[:, None], near]] = -1
             near.sort(axis=1)
-            fresh = ~seen[going[:, None], near]
-            fresh[:, 1:] &= near[:, 1:] != near[:, :-1]
+            near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
+            near = -np.sort(-near, axis=1)
+            near = near[:, : max(1, int((near >= 0).sum(1).max()))]
             seen[going[:, None], near] = True
-            s = np.where(fresh, np.einsum("qd,qkd->qk", queries[going], x[near]), -np.inf)
+            fresh = near >= 0
+            s = np.where(fresh, (x[near] @ queries[going][:, :, None])[:, :, 0], -np.inf)
             all_ids, all_scores = np.concatenate([ids[going], near], 1), np.concatenate([scores[going], s], 1)
             all_open = np.concatenate([open_[going], fresh], 1)
             if all_ids.shape[1] > beam:
@@ -164,27 +251,32 @@ class Graph:
                 ids = np.pad(ids, ((0, 0), (0, grow)), constant_values=-1)
                 scores = np.pad(scores, ((0, 0), (0, grow)), constant_values=-np.inf)
                 open_ = np.pad(open_, ((0, 0), (0, grow)))
-            ids[going], scores[going], open_[going] = all_ids, all_scores, all_open
+            ids[going, : all_ids.shape[1]], scores[going, : all_ids.shape[1]], open_[going, : all_ids.shape[1]] = all_ids, all_scores, all_open
 
     def search(self, queries: np.ndarray, k: int, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
         """Rows of ``vectors`` (-1 where none) and scores, best first."""
-        entries, exact, queries = np.zeros((len(queries), 1), dtype=np.int64), queries, queries.astype(np.float32)
-        for level in range(len(self.levels) - 1, -1, -1):
-            ids, scores = self._beam(level, queries, entries, max(beam, k) if level == 0 else 4 * ENTRIES)
-            width = min(k if level == 0 else ENTRIES, ids.shape[1])
-            order = np.argsort(-scores, axis=1, kind="stable")[:, :width]
-            ids, scores = np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
-            ids = np.where(np.isfinite(scores), ids, -1)
-            if level:
-                found = self.levels[level][0][ids]
-                below = np.searchsorted(self.levels[level - 1][0], found)
-                entries = np.where(ids >= 0, below, -1)
+        scaled = queries / np.abs(queries).max(1, keepdims=True)
+        coarse = np.hstack([scaled, np.zeros((len(queries), 1))]).astype(np.float32)
+        # all that the beam holds is scored exactly, so single precision costs no rank
+        ids, _ = self._descend(coarse, max(beam, k), max(beam, k))[0]
         found = np.where(ids >= 0, self.levels[0][0][ids], -1)
-        scores = np.where(ids >= 0, np.einsum("qd,qkd->qk", exact, self.vectors[found]), -np.inf)
-        order = np.argsort(-scores, axis=1, kind="stable")
+        with np.errstate(over="ignore", invalid="ignore"):
+            scores = np.einsum("qd,qkd->qk", queries, self.vectors[found])
+        order = np.lexsort((_ordered(scores), found >= 0), axis=1)[:, ::-1][:, :k]
         return np.take_along_axis(found, order, 1), np.take_along_axis(scores, order, 1)
 
 
+def _ordered(scores: np.ndarray) -> np.ndarray:
+    return np.where(np.isnan(scores), -np.inf, scores)
+
+
+def _equally_long(vectors: np.ndarray) -> np.ndarray:
+    """The vectors scaled by their largest component, with one more coordinate."""
+    x = vectors / np.abs(vectors).max()
+    square = (x * x).sum(1)
+    return np.hstack([x, np.sqrt(np.maximum(square.max() - square, 0))[:, None]]).astype(np.float32)
+
+
 INDEX_SCHEMA = "dim int, shard int, vectors binary, ids binary, ends binary, nodes array<binary>, links array<binary>"
 FOUND_SCHEMA = "query_id long, vec_id long, score double"
 
@@ -214,26 +306,35 @@ def _build(table: pa.Table) -> pa.Table:
 
 
 def _search(k: int, beam: int):
-    def run(index: pa.Table, queries: pa.Table) -> pa.Table:
-        out_q, out_i, out_s = [], [], []
-        if index.num_rows and queries.num_rows:
-            row = {c: index.column(c)[0].as_py() for c in index.column_names}
-            x = np.frombuffer(row["vectors"]).reshape(-1, row["dim"])
-            levels = [(np.frombuffer(n, dtype=np.int32), np.frombuffer(t, dtype=np.int32).reshape(-1, LINKS if i else LOWEST_LINKS)) for i, (n, t) in enumerate(zip(row["nodes"], row["links"], strict=True))]
-            graph, ids, ends = Graph(x, levels), np.frombuffer(row["ids"], dtype=np.int64), np.frombuffer(row["ends"], dtype=np.int64)
-            names = queries.column("query_id").to_pylist()
-            q = np.frombuffer(b"".join(queries.column("v").to_pylist())).reshape(len(names), -1)
+    def run(index: pa.Table, blocks: pa.Table) -> Iterator[pa.RecordBatch]:
+        if not index.num_rows or not blocks.num_rows:
+            return
+        row = {c: index.column(c)[0].as_py() for c in index.column_names}
+        x = np.frombuffer(row["vectors"]).reshape(-1, row["dim"])
+        levels = [(np.frombuffer(n, dtype=np.int32), np.frombuffer(t, dtype=np.int32).reshape(-1, LINKS if i else LOWEST_LINKS)) for i, (n, t) in enumerate(zip(row["nodes"], row["links"], strict=True))]
+        graph, ids, ends = Graph(x, levels), np.frombuffer(row["ids"], dtype=np.int64), np.frombuffer(row["ends"], dtype=np.int64)
+        for block in range(blocks.num_rows):
+            names = np.frombuffer(blocks.column("query_ids")[block].as_py(), dtype=np.int64).tolist()
+            q = np.frombuffer(blocks.column("v")[block].as_py()).reshape(len(names), -1)
+            out_q, out_i, out_s = [], [], []
             for i in range(0, len(q), QUERIES_AT_ONCE):
                 found, scores = graph.search(q[i : i + QUERIES_AT_ONCE], k + 1, beam)
-                for name, nodes, values in zip(names[i : i + QUERIES_AT_ONCE], found, scores, strict=True):
-                    best = [(-s, m, s) for node, s in zip(nodes.tolist(), values.tolist(), strict=True) if node >= 0 for m in ids[ends[node - 1] if node else 0 : ends[node]].tolist() if m != name]
-                    for _, m, s in sorted(best)[:k]:
+                for name, nodes, values, ordered in zip(names[i : i + QUERIES_AT_ONCE], found, scores, _ordered(scores), strict=True):
+                    best: dict[int, tuple] = {}
+                    for node, s, o in zip(nodes.tolist(), values.tolist(), ordered.tolist(), strict=True):
+                        for m in ids[ends[node - 1] if node else 0 : ends[node]].tolist() if node >= 0 else ():
+                            if m != name:
+                                best.setdefault(m, (-o, m, s))
+                    for _, m, s in sorted(best.values())[:k]:
                         out_q.append(name)
                         out_i.append(m)
                         out_s.append(s)
-        return pa.table({"query_id": pa.array(out_q, pa.int64()), "vec_id": pa.array(out_i, pa.int64()), "score": pa.array(out_s, pa.float64())})
+            yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(out_i, pa.int64()), pa.array(out_s, pa.float64())], names=["query_id", "vec_id", "score"])
 
-    return run
+    def whole(index: pa.Table, blocks: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(run(index, blocks), pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
+
+    return whole
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -257,28 +358,54 @@ def build_index(rows: DataFrame, k: int, shard: int = SHARD) -> DataFrame:
     return stored(dealt.repartition(tasks, "dim", "shard").groupBy("dim", "shard").applyInArrow(_build, INDEX_SCHEMA), "graphs")
 
 
-def nearest(index: DataFrame, queries: DataFrame, k: int, beam: int = BEAM) -> DataFrame:
-    """query_id, rank, vec_id, score; ``queries``: query_id and v (binary)."""
-    shards = index.select(F.col("dim").alias("length"), F.col("shard").alias("to"))
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    length = (F.octet_length("v") / 8).cast("int")
-    dealt = queries.withColumn("length", length).join(shards, "length").select("query_id", "v", F.col("length").alias("dim"), F.col("to").alias("shard"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"))
-    copies = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    key = ["dim", "shard", "block"]
-    found = copies.groupBy(*key).cogroup(dealt.groupBy(*key)).applyInArrow(_search(k, beam), FOUND_SCHEMA)
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+@trimmed
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Queries as blocks: those of one length, ids and vectors as bytes."""
 
+    def out(dim: int, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        ids = np.array([r[0] for r in rows], dtype=np.int64).tobytes()
+        return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([len(rows)], pa.int64()), pa.array([ids], pa.binary()), pa.array([b"".join(r[1] for r in rows)], pa.binary())], names=["dim", "n", "query_ids", "v"])
 
-def _as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[int, list] = {}
     for batch in batches:
-        v = [(np.array(x, dtype=np.float64) + 0.0).tobytes() for x in batch.column("v").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(v, pa.binary())], names=["query_id", "v"])
+        for query_id, v in zip(batch.column("query_id").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            rows = held.setdefault(len(v), [])
+            rows.append((query_id, (np.array(v, dtype=np.float64) + 0.0).tobytes()))
+            if len(rows) == QUERY_BLOCK:
+                yield out(len(v), held.pop(len(v)))
+    for dim, rows in held.items():
+        yield out(dim, rows)
+
+
+def query_blocks(queries: DataFrame) -> DataFrame:
+    """dim, n, query_ids, v: the queries (query_id, v as array of double) in blocks, stored."""
+    return stored(queries.mapInArrow(_blocks, "dim int, n long, query_ids binary, v binary"), "queries")
+
+
+def nearest(index: DataFrame, blocks: DataFrame, k: int, beam: int = BEAM) -> DataFrame:
+    """query_id, rank, vec_id, score; ``blocks``: from ``query_blocks``.
+
+    Every shard gets every block of its length; a task has one shard and about
+    BLOCKS blocks, so what is copied for a further task is a shard for each
+    BLOCKS * QUERY_BLOCK queries.
+    """
+    groups = max(1, -(-blocks.count() // BLOCKS))
+    # a row a vector length
+    shards = index.groupBy("dim").agg(F.max("shard").alias("last"))
+    dealt = blocks.join(F.broadcast(shards), "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("last")))).withColumn("group", F.pmod(F.xxhash64("query_ids"), F.lit(groups)).cast("int"))
+    copies = index.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    key = ["dim", "shard", "group"]
+    found = copies.groupBy(*key).cogroup(dealt.select(*key, "query_ids", "v").groupBy(*key)).applyInArrow(_search(k, beam), FOUND_SCHEMA)
+    order = F.when(F.isnan("score"), F.lit(float("-inf"))).otherwise(F.col("score"))
+    # one exchange, by query, serves both steps
+    merged = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max_by("score", order).alias("score"))
+    ranked = Window.partitionBy("query_id").orderBy(order.desc(), "vec_id")
+    return merged.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def nearest_in(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", shard: int = SHARD) -> DataFrame:
     """The k nearest of each row whose id is divisible by ``every``."""
     rows = usable(vectors, id_col, vector_col)
     index = build_index(rows, k, shard)
-    queries = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).mapInArrow(_as_bytes, "query_id long, v binary")
-    return nearest(index, queries, k)
+    queries = rows.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v"))
+    return nearest(index, query_blocks(queries), k)
