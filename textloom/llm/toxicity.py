@@ -213,18 +213,20 @@ def label_model(votes: np.ndarray, toxic: np.ndarray, rounds: int = 60) -> np.nd
 
     ``toxic``: the training labels (0 or 1), prior counts of the voters' rates.
     """
-    votes = votes.astype(np.float32)
-    n, k = votes.shape
-    known = np.stack([1 - toxic, toxic]).astype(np.float32)
+    # documents of equal votes are one row, of so many documents
+    votes, back = np.unique(votes.astype(np.int8), axis=0, return_inverse=True)
+    known = np.stack([np.bincount(back.ravel(), weights=w, minlength=len(votes)) for w in (1 - toxic, toxic)])
+    votes, size = votes.astype(np.float64), known.sum(0)
+    k = votes.shape[1]
     odds = np.log(known.sum(1) + 1)[:, None]
-    parent, q = np.full(k, -1), toxic.astype(np.float32)
+    parent, q = np.full(k, -1), known[1] / size
     for step in range(rounds):
-        sides = np.stack([1 - q, q]) + BELIEF * known
+        sides = np.stack([1 - q, q]) * size + BELIEF * known
         if step % 10 == 0:
             parent = dependence_tree(np.stack([(votes * m[:, None]).T @ votes for m in sides]), sides.sum(1))
             alone, has = np.flatnonzero(parent < 0), np.flatnonzero(parent >= 0)
             own, above = votes[:, has], votes[:, parent[has]]
-        log = odds + np.zeros((2, n))
+        log = odds + np.zeros((2, len(votes)))
         for y, m in enumerate(sides):
             p = ((m @ votes) + 0.5) / (m.sum() + 1)
             log[y] += votes[:, alone] @ np.log(p[alone])
@@ -238,7 +240,7 @@ def label_model(votes: np.ndarray, toxic: np.ndarray, rounds: int = 60) -> np.nd
         if step and np.abs(new - q).max() < 1e-6:
             break
         q = new
-    return q
+    return q[back.ravel()]
 
 
 def _sample_rows(entries: list[tuple[str, int]]):
