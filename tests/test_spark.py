@@ -38,6 +38,8 @@ def test_plan_is_narrow_and_filters_reach_the_scan(spark, tmp_path):
     spark.createDataFrame([(1, "a b", "en", "unused")], "doc_id long, text string, lang string, other string").write.parquet(path)
     plan = TextChunker(10).explode(spark.read.parquet(path).where("lang = 'en'"))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "EqualTo(lang,en)" in plan and "other" not in plan
+    # each document is cut once
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
 
 
 def test_callback_error_fails_the_query(spark, docs):

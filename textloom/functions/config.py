@@ -11,6 +11,9 @@ from textloom.functions.sizers import Characters
 UNBOUNDED = 2**64 - 1
 
 
+# The messages of the two errors below.
+
+
 class CapacityError(ValueError):
     """A maximum below the desired size."""
 
@@ -34,12 +37,12 @@ class Capacity:
     """Chunks of ``desired`` up to ``max`` units of the sizer."""
 
     desired: int
-    max: int = -1
+    max: int | None = None
 
     def __post_init__(self) -> None:
         if self.desired < 0:
             raise CapacityError
-        if self.max == -1:
+        if self.max is None:
             object.__setattr__(self, "max", self.desired)
         if self.max < self.desired:
             raise CapacityError

@@ -50,6 +50,14 @@ _SMALL = regex.compile(r"\p{SB=Lower}")
 _MARGIN = 64
 
 
+_MARKS = regex.compile(rf"{_X}")
+
+
+def marks_end(text: str, start: int) -> int:
+    """Where a run of marks that extend what is before them ends."""
+    return _MARKS.match(text, start).end()
+
+
 def characters(text: str, whole: bool = True) -> Iterator[int]:
     return iter(range(1, len(text) + 1))
 
@@ -143,7 +151,20 @@ def ends_from(text: str, start: int, segmenter: Callable[[str, bool], Iterator[i
         window *= 4
 
 
-def first_stop(text: str, start: int, end: int) -> int:
-    """Where the first mark stands that could end a sentence; ``end`` if none."""
-    stop = _STOP.search(text, start, end)
-    return stop.start() if stop else end
+def goes_on(text: str, start: int, window: int = 2048) -> bool:
+    """Whether a sentence that is cut at ``start`` surely ends where it did: rules
+    look back only from a full stop, over marks, to the letter before it."""
+    at = marks_end(text, start)
+    if not _ATERM.match(text, at):
+        return True
+    front = text[start : start + window]
+    found = _after_terminator(front, at - start, at - start + 1, False) if at - start + _MARGIN < window else 0
+    return found < 0
+
+
+def last_stop(text: str, start: int, end: int) -> int:
+    """After the last mark that could end a sentence; ``end`` if there is none."""
+    last = end
+    for stop in _STOP.finditer(text, start, end):
+        last = stop.start() + 1
+    return last

@@ -6,9 +6,13 @@
     chunker.explode(df, "text", keep=["doc_id"])      # a row a chunk
     chunker.register(spark, "chunk_text")             # SELECT ... LATERAL chunk_text(text)
 
-Chunking needs no shuffle: documents are cut where they are, batch by batch, so
-the plan is scan, one Arrow evaluation, and a generate.  Filters on documents
-belong before it; filters on chunks can't be pushed below it.
+Chunking needs no shuffle: documents are cut where they are, batch by batch, and
+``explode`` writes the rows of chunks itself, so the plan is a scan and one
+MapInArrow, which cuts each document once.  (A generate over ``column`` may cut
+twice, as Spark infers a filter on the array's size and evaluates it first.)
+Filters on documents belong before it; filters on chunks can't be pushed below it.
+A worker holds one Arrow batch and the chunks of ``SLICE`` code points of text, or
+of one longer document.
 
 Null texts have a null array and no rows; empty texts an empty array and no rows.
 """
@@ -29,6 +33,8 @@ from textloom.functions.sizers import Callback, HuggingFace, Tiktoken
 from textloom.operators.kernel import Chunk, cut
 from textloom.plans.newlines import TextPlan
 
+#: Code points of text whose chunks are gathered before they are given out.
+SLICE = 1 << 20
 CHUNK_TYPE = "struct<chunk_index: int, byte_offset: bigint, char_offset: bigint, chunk: string>"
 _ARROW = pa.struct([("chunk_index", pa.int32()), ("byte_offset", pa.int64()), ("char_offset", pa.int64()), ("chunk", pa.string())])
 
@@ -112,16 +118,24 @@ class TextChunker:
 
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for batch in batches:
-                rows, ends, valid = [], [0], []
-                for t in batch.to_pylist():
-                    valid.append(t is not None)
-                    rows.extend(islice(self.iterate(t or ""), max_chunks))
-                    ends.append(len(rows))
-                fields = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_ARROW)]
-                yield _lists(ends, valid, pa.StructArray.from_arrays(fields, fields=list(_ARROW)))
+                parts = [_lists([None if t is None else rows for t, rows in cut]) for cut in self._slices(batch, max_chunks)]
+                yield pa.concat_arrays(parts) if parts else _lists([])
 
         return F.arrow_udf(run, f"array<{CHUNK_TYPE}>")(text)
 
+    def _slices(self, texts: Iterable[pa.Scalar], max_chunks: int | None) -> Iterator[list]:
+        """The texts (None where null) with their chunks, SLICE code points at a time."""
+        held, size = [], 0
+        for scalar in texts:
+            t = scalar.as_py()
+            held.append((t, list(islice(self.iterate(t or ""), max_chunks))))
+            size += len(t or "")
+            if size >= SLICE:
+                yield held
+                held, size = [], 0
+        if held:
+            yield held
+
     def strings(self, text: Column | str) -> Column:
         """ARRAY<STRING>: the chunks alone."""
 
@@ -134,7 +148,24 @@ class TextChunker:
 
     def explode(self, df: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",), max_chunks: int | None = None) -> DataFrame:
         """The columns ``keep``, then a row a chunk."""
-        return df.select(*keep, self.column(F.col(text), max_chunks).alias("__chunks")).select(*keep, F.inline("__chunks"))
+        rows = df.select(*keep, F.col(text))
+        names = [*rows.columns[:-1], *_ARROW.names]
+        rows = rows.toDF(*(f"c{i}" for i in range(len(rows.columns))))
+        kept = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = 0
+                for cut in self._slices(batch.column(batch.num_columns - 1), max_chunks):
+                    counts = [len(rows) for _, rows in cut]
+                    if any(counts):
+                        own = pa.array([at + i for i, n in enumerate(counts) for _ in range(n)], pa.int64())
+                        columns = [c.take(own) for c in batch.columns[:-1]] + _columns([r for _, rows in cut for r in rows])
+                        yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], *(f"chunk{i}" for i in range(len(_ARROW)))])
+                    at += len(cut)
+
+        made = [f"chunk{i} {kind}" for i, kind in enumerate(("int", "bigint", "bigint", "string"))]
+        return rows.mapInArrow(run, ", ".join([*kept, *made])).toDF(*names)
 
     def register(self, spark: SparkSession, name: str) -> None:
         """A SQL table function name(text) of chunk_index, byte_offset, char_offset, chunk."""
@@ -155,8 +186,16 @@ class TextChunker:
         return made
 
 
-def _lists(ends: list[int], valid: list[bool], values: pa.Array) -> pa.Array:
-    offsets = pa.array([e if i == len(valid) or valid[i] else None for i, e in enumerate(ends)], pa.int32())
+def _columns(chunks: list[Chunk]) -> list[pa.Array]:
+    return [pa.array([c[i] for c in chunks], f.type) for i, f in enumerate(_ARROW)]
+
+
+def _lists(rows: list[list[Chunk] | None]) -> pa.Array:
+    ends = [0]
+    for chunks in rows:
+        ends.append(ends[-1] + len(chunks or ()))
+    offsets = pa.array([e if i == len(rows) or rows[i] is not None else None for i, e in enumerate(ends)], pa.int32())
+    values = pa.StructArray.from_arrays(_columns([c for chunks in rows for c in chunks or ()]), fields=list(_ARROW))
     return pa.ListArray.from_arrays(offsets, values)
 
 

@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 from textloom.functions.config import ChunkConfig
-from textloom.functions.segments import LEVELS, ends_from, first_stop, sentences, words
+from textloom.functions.segments import LEVELS, ends_from, goes_on, last_stop, marks_end, sentences, words
 from textloom.functions.sizers import Bytes, Characters
 from textloom.functions.whitespace import KEEP, Trimmer
 from textloom.plans.ranges import Ranges
@@ -65,6 +65,7 @@ class Cutter:
         self.ends: list[int] = []
         self.sizes: dict[tuple[int, int], int] = {}
         self.known: dict[Callable, tuple[int, int, int]] = {}
+        self.marks = (0, 0)
         sizer = config.sizer
         if isinstance(sizer, Characters):
             self.size = self._characters
@@ -166,32 +167,48 @@ class Cutter:
             yield Candidate(segmenter, self.first_end(segmenter), words if segmenter is sentences else None)
 
     def _fallback_ends(self, segmenter: Callable) -> Iterator[int]:
-        """Ends of the segments from the cursor, the first as it is remembered."""
-        first = self.first_end(segmenter)
-        yield first
+        """Ends of the segments from the cursor, the first ones as they are remembered."""
+        given = self.first_end(segmenter)
+        yield given
+        known = self.known.get(segmenter)
+        if known and segmenter is not sentences and known[0] <= given < known[1] and self._in_step(segmenter, given, known[2]):
+            given = known[2]
+            yield given
         for end in ends_from(self.text, self.cursor, segmenter):
-            if end > first:
+            if end > given:
                 yield end
 
     def first_end(self, segmenter: Callable) -> int:
         """The end of the first segment from the cursor.
 
-        A long word or sentence is cut many times, and its end remembered: from
-        anywhere in a run of ASCII letters the word ends alike, and from well
-        before a sentence's first mark the sentence does.
+        A long segment is cut many times, and its end remembered: from within it,
+        up to its last mark, a sentence ends alike unless it begins with a full stop,
+        and a word or grapheme does from wherever one begins that goes on as far as
+        rules look.
         """
+        cursor = self.cursor
         known = self.known.get(segmenter)
-        if known and known[0] <= self.cursor < known[1]:
-            return known[2]
-        end = next(ends_from(self.text, self.cursor, segmenter))
-        if end - self.cursor > 64:
-            span = self.text[self.cursor : end]
-            if segmenter is words and span.isascii() and span.isalpha():
-                self.known[words] = (self.cursor, end, end)
-            elif segmenter is sentences:
-                self.known[sentences] = (self.cursor, first_stop(self.text, self.cursor, end) - 32, end)
+        if known and known[0] <= cursor < known[1]:
+            in_step = goes_on(self.text, cursor) if segmenter is sentences else self._in_step(segmenter, cursor, known[2])
+            if in_step:
+                return known[2]
+        end = next(ends_from(self.text, cursor, segmenter))
+        if end - cursor > 64:
+            self.known[segmenter] = (cursor, last_stop(self.text, cursor, end) if segmenter is sentences else end, end)
         return end
 
+    def _in_step(self, segmenter: Callable, at: int, end: int) -> bool:
+        """Whether the segment that begins at ``at``, inside one up to ``end``,
+        surely ends there too."""
+        if end - at <= 256:
+            return False
+        if not self.marks[0] <= at < self.marks[1]:
+            self.marks = (at, marks_end(self.text, at))
+        if self.marks[1] > at:
+            # marks without a letter before them join nothing that follows
+            return self.marks[1] >= end
+        return next(segmenter(self.text[at : at + 256], False), None) is None
+
     def sections(self) -> tuple[Iterator[tuple[int, int]], int | None]:
         """Sections from the cursor on, and the last place where one may start."""
         text, cursor = self.text, self.cursor
@@ -200,7 +217,7 @@ class Cutter:
         if level is not None:
             return self._plan_sections(live, level), limit
         level, own_limit = self.pick_level(self._fallback_candidates(), self._fallback_ends)
-        ends = ends_from(text, cursor, level or LEVELS[0])
+        ends = self._fallback_ends(level) if level else ends_from(text, cursor, LEVELS[0])
 
         def cut() -> Iterator[tuple[int, int]]:
             start = cursor
@@ -306,8 +323,4 @@ def cut(text: str, plan, config: ChunkConfig) -> Iterator[Chunk]:
     return Cutter(text, plan, config).chunks()
 
 
-def cut_all(texts: Iterable[str], plan, config: ChunkConfig) -> list[list[Chunk]]:
-    return [list(cut(t, plan, config)) for t in texts]
-
-
-__all__ = ["Chunk", "Cutter", "cut", "cut_all"]
+__all__ = ["Chunk", "Cutter", "cut"]

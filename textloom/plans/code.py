@@ -41,11 +41,16 @@ def parse_python(text: str) -> list[tuple[int, int, int]]:
         if c == "\n" or (c == "\r" and text[i + 1 : i + 2] != "\n"):
             begins.append(i + 1)
 
+    begins.append(len(text))
+    encoded: dict[int, bytes] = {}
+
     def at(line: int, column: int) -> int:
-        begin = begins[line - 1]
-        front = text[begin : begin + column]
         # columns count UTF-8 bytes
-        return begin + (column if front.isascii() else len(text[begin:].encode()[:column].decode(errors="ignore")))
+        begin, after = begins[line - 1], begins[line]
+        if line not in encoded:
+            encoded[line] = text[begin:after].encode()
+        octets = encoded[line]
+        return begin + (column if len(octets) == after - begin else len(octets[:column].decode(errors="ignore")))
 
     found = []
     queue: list[tuple[ast.AST, int]] = [(tree, 0)]

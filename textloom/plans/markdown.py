@@ -1,8 +1,9 @@
 """Markdown: headings, blocks and inline elements with their places in the text.
 
-A block parser for CommonMark with tables, footnotes, task lists, metadata and
-quotes works on views: a line's span without what its containers (quotes, list
-items, footnotes) take off its front.  An inline parser then reads a block's views.
+A block parser for CommonMark with tables, footnotes, task lists, metadata,
+definition lists, alerts and quotes works on views: a line's span without what its containers (quotes, list
+items, definitions, footnotes) take off its front.  An inline parser then reads a
+block's views, math and wiki links included.
 Only places matter: what is shown, where links lead and titles aren't kept.
 
 Text is split where typographic marks (quotes, dashes, dots), escapes, entities and
@@ -37,6 +38,10 @@ _FENCE = re.compile(r"( {0,3})(`{3,}(?=[^`]*$)|~{3,})")
 _QUOTE = re.compile(r" {0,3}>")
 _ITEM = re.compile(r"( {0,3})([-+*]|\d{1,9}[.)])(?=[ \t]|$)")
 _FOOTNOTE = re.compile(r" {0,3}\[\^([^\]\s]+)\]:[ \t]*")
+_MEANING = re.compile(r" {0,3}:(?=[ \t])")
+_ALERT = re.compile(r"\[!(?:NOTE|TIP|IMPORTANT|WARNING|CAUTION)\][ \t]*$", re.I)
+_WIKI_LINK = re.compile(r"!?\[\[(?P<target>[^\[\]|\n]+)(?:\|(?P<shown>[^\[\]\n]*))?\]\]")
+_MATH = re.compile(r"\$\$(?P<display>(?:[^\\$]|\\.|\$(?!\$))+)\$\$|\$(?![\s$])(?:[^\\$]|\\.)*(?<!\s)\$", re.S)
 _DEFINITION = re.compile(r" {0,3}\[((?:[^\[\]\\]|\\.)+)\]:[ \t]*\n?[ \t]*(?:<[^<>\n]*>|[^\s<]\S*)(?:[ \t]*(?:\n[ \t]*)?(?<=\s)(?:\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|\((?:[^()\\]|\\.)*\)))?[ \t]*(?:\n|$)")
 _DEFINITION_PLAIN = re.compile(r" {0,3}\[((?:[^\[\]\\]|\\.)+)\]:[ \t]*\n?[ \t]*(?:<[^<>\n]*>|[^\s<]\S*)[ \t]*(?:\n|$)")
 _DELIMITERS = re.compile(r"[ \t]*\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
@@ -63,7 +68,7 @@ _ENTITY = re.compile(r"&(?:#[xX][0-9a-fA-F]{1,6}|#\d{1,7}|[A-Za-z][A-Za-z0-9]*);
 _LINK_TAIL = re.compile(r"\(\s*(?:(?:<(?:[^<>\n\\]|\\.)*>|(?!<)(?:[^\s()\\]|\\.|\((?:[^\s()\\]|\\.|\((?:[^\s()\\]|\\.)*\))*\))+)(?:\s+(?:\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|\((?:[^()\\]|\\.)*\)))?)?\s*\)", re.S)
 _REFERENCE_TAIL = re.compile(r"\[((?:[^\[\]\\]|\\.)*)\]")
 _PUNCTUATION = re.compile(r"[!-/:-@\[-`{-~]")
-_SPECIAL = re.compile(r"[\n\\`*_~^<&!\[\]'\".\-]")
+_SPECIAL = re.compile(r"[\n\\`*_~^<&!\[\]'\".\-$]")
 
 
 def _is_punctuation(c: str) -> bool:
@@ -91,8 +96,10 @@ class _Parser:
         return not self.text[view[0] : view[1]].strip(" \t\r\n")
 
     def indent(self, view: View) -> int:
-        width = 0
-        for c in self.text[view[0] : view[1]]:
+        line = self.text[view[0] : view[1]]
+        rest = line.lstrip(" ")
+        width = len(line) - len(rest)
+        for c in rest if rest[:1] == "\t" else "":
             if c == " ":
                 width += 1
             elif c == "\t":
@@ -111,7 +118,12 @@ class _Parser:
 
     # blocks
 
-    def blocks(self, views: list[View], tight: bool = False, top: bool = False) -> None:
+    def blocks(self, views: list[View], tight: bool = False) -> None:
+        """Parses the blocks of a container, once those at hand are done: nesting
+        may be deeper than calls can be."""
+        self.containers.append((views, tight))
+
+    def _blocks(self, views: list[View], tight: bool, top: bool) -> None:
         i = 0
         while i < len(views):
             if self.blank(views[i]):
@@ -228,24 +240,27 @@ class _Parser:
         kind = self.html_start(line)
         return kind is not None and kind < 6
 
-    def contained(self, views: list[View], i: int, own) -> tuple[list[View], int]:
+    def contained(self, views: list[View], i: int, own, mark: re.Pattern | None = None) -> tuple[list[View], int]:
         """The views of a container from i on: those that ``own`` turns into inner
-        ones, and lazy continuations of a paragraph that is open."""
+        ones, and lazy continuations of a paragraph that is open, up to a line that
+        begins with ``mark``."""
         inner: list[View] = []
-        k = i
+        k, fences = i, 0
         while k < len(views):
             v = own(views[k], k == i)
             if v is None:
-                lazy = inner and not self.blank(views[k]) and not self.interrupts(views[k], True) and self.open_paragraph(inner)
+                lazy = inner and not self.blank(views[k]) and not (mark and mark.match(self.line(views[k]))) and not self.interrupts(views[k], True) and self.open_paragraph(inner, fences % 2 == 1)
                 if not lazy:
                     break
                 v = self.stripped(views[k], 99)
             inner.append(v)
+            fences += bool(_FENCE.match(self.line(v)))
             k += 1
         return inner, k
 
-    def open_paragraph(self, inner: list[View]) -> bool:
-        """Whether the last of these views is in a paragraph that could go on."""
+    def open_paragraph(self, inner: list[View], fenced: bool) -> bool:
+        """Whether the last of these views is in a paragraph that could go on;
+        ``fenced``: a code fence among them is open."""
         view = inner[-1]
         while True:
             if self.blank(view):
@@ -259,8 +274,7 @@ class _Parser:
                 break
         if _RULE.match(line) or _ATX.match(line) or self.html_start(line) is not None:
             return False
-        fences = [m for v in inner if (m := _FENCE.match(self.line(v)))]
-        if len(fences) % 2:
+        if fenced:
             return False
         return self.indent(view) < 4 or len(inner) > 1 and not self.blank(inner[-2])
 
@@ -272,6 +286,8 @@ class _Parser:
         inner, k = self.contained(views, i, own)
         start = views[i][0] + self.text[views[i][0] : views[i][1]].index(">")
         self.add(BLOCK, start, views[k - 1][1])
+        if _ALERT.match(self.line(inner[0])):
+            inner = inner[1:]
         self.blocks(inner)
         return k
 
@@ -420,12 +436,64 @@ class _Parser:
                 self.inlines([(s + len(inner) - len(inner.lstrip(" \t")), s + len(inner.rstrip(" \t")))])
         return k
 
+    def meaning_at(self, views: list[View], k: int) -> re.Match | None:
+        """The mark of a definition at view k, if one begins there."""
+        return _MEANING.match(self.line(views[k])) if k < len(views) else None
+
+    def meanings(self, views: list[View], i: int, k: int) -> int:
+        """A definition list: its first term is views i to k, a mark follows."""
+        begin, parts = views[i][0], []
+        while True:
+            term = [self.stripped(v, 999) for v in views[i:k]]
+            parts.append((term[0][0], term[-1][1], term, False))
+            while True:
+                after = k + (k + 1 < len(views) and self.blank(views[k]))
+                m = self.meaning_at(views, after)
+                if not m:
+                    break
+                loose = after > k
+                k = after
+                pad = self.indent((views[k][0] + m.end(), views[k][1]))
+                width = m.end() + (1 if pad > 4 else pad)
+
+                def own(view: View, first: bool, m=m, pad=pad, width=width) -> View | None:
+                    if first:
+                        return self.stripped((view[0] + m.end(), view[1]), 1 if pad > 4 else pad)
+                    return self.stripped(view, width) if self.blank(view) or self.indent(view) >= width else None
+
+                inner, after = self.contained(views, k, own, _MEANING)
+                while inner and self.blank(inner[-1]):
+                    inner.pop()
+                    after -= 1
+                parts.append((views[k][0] + m.end() - 1, views[after - 1][1], inner, loose))
+                k = after
+            # another term may follow, at once or after a blank line
+            i = k + (k + 1 < len(views) and self.blank(views[k]))
+            more = i
+            while more < len(views) and not self.blank(views[more]) and not self.interrupts(views[more]) and not self.meaning_at(views, more):
+                more += 1
+            if more == i or not self.meaning_at(views, more + (more + 1 < len(views) and self.blank(views[more]))):
+                break
+            k = more
+        self.add(BLOCK, begin, parts[-1][1])
+        for start, end, lines, loose in parts:
+            self.add(BLOCK, start, end)
+            if lines and lines[0][0] == start:
+                self.inlines(lines)
+            else:
+                self.blocks(lines, tight=not loose)
+        return k
+
     def paragraph(self, views: list[View], i: int, tight: bool) -> int:
         k = i
         level = None
         while k < len(views):
             if self.blank(views[k]):
+                if k + 1 < len(views) and self.meaning_at(views, k + 1):
+                    return self.meanings(views, i, k)
                 break
+            if k > i and self.meaning_at(views, k):
+                return self.meanings(views, i, k)
             if k > i:
                 m = _SETEXT.match(self.line(views[k]))
                 if m and self.indent(views[k]) < 4:
@@ -477,11 +545,14 @@ class _Parser:
 
     def run(self) -> list[Range]:
         self.pending: list[list[View]] = []
+        self.containers: list[tuple[list[View], bool]] = []
         views, at = [], 0
         for part in self.text.splitlines(keepends=True) if not re.search("[\x0b\x0c\x1c-\x1e\x85  ]", self.text) else re.findall(r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+$", self.text):
             views.append((at, at + len(part)))
             at += len(part)
-        self.blocks(views, top=True)
+        self._blocks(views, False, True)
+        while self.containers:
+            self._blocks(*self.containers.pop(), False)
         for lines in self.pending:
             _Inlines(self, lines).run()
         return self.found
@@ -588,6 +659,21 @@ class _Inlines:
                     at = begin = m.end()
                 else:
                     at += 1
+            elif c == "$":
+                m = _MATH.match(text, at, stop)
+                flush(at)
+                if m and m["display"]:
+                    self.add(at, m.end(), BLOCK)
+                else:
+                    pieces.append((at, m.end() if m else at + 1))
+                at = begin = m.end() if m else at + 1
+            elif c in "![" and (m := _WIKI_LINK.match(text, at, stop)):
+                flush(at)
+                self.add(at, m.end())
+                shown = m.span("target" if m["shown"] is None else "shown")
+                if shown[1] > shown[0]:
+                    pieces.append(shown)
+                at = begin = m.end()
             elif c == "!" and text[at + 1 : at + 2] == "[" and at + 1 < stop:
                 flush(at)
                 brackets.append((at, len(pieces), len(marks), True))
@@ -688,12 +774,15 @@ class _Inlines:
     def emphasis(self, marks: list[list], pieces: list[tuple[int, int]]) -> None:
         """Pairs delimiter runs; what is left of them is text, mark by mark."""
         k = 0
+        # below these places no opener is left for closers of a kind
+        bottom: dict[tuple, int] = {}
         while k < len(marks):
             closer = marks[k]
             if not closer[4]:
                 k += 1
                 continue
-            for j in range(k - 1, -1, -1):
+            kind = (closer[0], closer[3], closer[5] if closer[0] in "~^" else closer[5] % 3)
+            for j in range(k - 1, bottom.get(kind, 0) - 1, -1):
                 opener = marks[j]
                 if opener[0] != closer[0] or not opener[3] or opener[1] == opener[2]:
                     continue
@@ -712,6 +801,7 @@ class _Inlines:
                 k = j + 1
                 break
             else:
+                bottom[kind] = k
                 k += 1
                 continue
             if closer[1] == closer[2]:

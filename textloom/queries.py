@@ -21,9 +21,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents, dealt over all cores where they lie in fewer files: cutting
-    costs far more than moving them. With many files nothing is moved."""
+    costs far more than moving them. With as many files nothing is moved."""
     docs, cores = documents(spark, sf_dir), spark.sparkContext.defaultParallelism
-    return docs.repartition(cores) if len(docs.inputFiles()) < cores else docs
+    return docs.repartition(cores) if len(docs._jdf.inputFiles()) < cores else docs
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,9 +160,7 @@ def line_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_packing_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, those with lines that don't fit too, which ``line_packing``
     leaves out as its SQL does; such lines are cut at lower levels. Without SQL."""
-    cut = dealt(spark, sf_dir).select("doc_id", TextChunker(LINES).column("text").alias("cut"))
-    # for a plain inline Spark infers a filter on the chunks, and cuts each text twice
-    return cut.select("doc_id", F.inline_outer("cut")).where("chunk_index IS NOT NULL").select("doc_id", "chunk_index", "chunk")
+    return TextChunker(LINES).explode(dealt(spark, sf_dir)).select("doc_id", "chunk_index", "chunk")
 
 
 def newline_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
