@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom import streaming
@@ -151,6 +151,42 @@ def native_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return letters(spark, sf_dir).select("doc_id", F.posexplode(cut).alias("chunk_index", "chunk"))
 
 
+#: Words in a window; words of a sentence, sentences in a chunk; words of a line,
+#: lines of a paragraph, paragraphs in a chunk.
+WORDS_A_WINDOW, SENTENCE, SENTENCES, LINE, PARAGRAPH, PARAGRAPHS = 100, 8, 2, 5, 3, 2
+
+
+def plain_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's words of the letters a to z, and their number n."""
+    words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w != "")
+    return documents(spark, sf_dir).select("doc_id", words.alias("w")).where(F.size("w") > 0).withColumn("n", F.size("w"))
+
+
+def _grouped(size: int, join: str, shape=lambda part: part) -> Column:
+    """The words in groups of ``size``, each joined by ``join``."""
+    return F.transform(F.sequence(F.lit(0), F.expr(f"(n - 1) div {size}")), lambda i: shape(F.array_join(F.slice("w", i * size + 1, size), join)))
+
+
+def word_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text without any mark is cut between words."""
+    text = plain_words(spark, sf_dir).select("doc_id", F.array_join("w", " ").alias("text"))
+    return TextChunker(WORDS_A_WINDOW, sizer=Words()).explode(text).select("doc_id", "chunk_index", "chunk")
+
+
+def sentence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences are kept whole: as many as fit go together."""
+    sentence = lambda s: F.concat(F.upper(F.substring(s, 1, 1)), s.substr(F.lit(2), F.char_length(s)), F.lit("."))
+    text = plain_words(spark, sf_dir).select("doc_id", F.array_join(_grouped(SENTENCE, " ", sentence), " ").alias("text"))
+    return TextChunker(SENTENCE * SENTENCES, sizer=Words()).explode(text).select("doc_id", "chunk_index", "chunk")
+
+
+def paragraph_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs are kept whole before lines are."""
+    lines = plain_words(spark, sf_dir).select("doc_id", _grouped(LINE, " ").alias("w")).withColumn("n", F.size("w"))
+    text = lines.select("doc_id", F.array_join(_grouped(PARAGRAPH, "\n"), "\n\n").alias("text"))
+    return TextChunker(LINE * PARAGRAPH * PARAGRAPHS, sizer=Words()).explode(text).select("doc_id", "chunk_index", "chunk")
+
+
 def line_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents all of whose lines fit: their lines packed greedily."""
     short = F.forall(F.split("text", "\n"), lambda line: F.char_length(line) <= LINES)
@@ -227,6 +263,13 @@ def benchmark_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select("item_id", F.array_join(TextChunker(40, trim=False).strings("text"), "").alias("text"))
 
 
+def _groups(words: str, size: int, join: str, shape: str = "{}") -> str:
+    """SQL for a list of words in groups of ``size``, each joined by ``join``."""
+    part = f"array_to_string({words}[i * {size} + 1 : (i + 1) * {size}], {join})"
+    return f"list_transform(generate_series(0, (len({words}) - 1) // {size}), lambda i: {shape.format(part, part)})"
+
+
+_PLAIN = "SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents"
 _WORDS = "regexp_replace(lower(text), '[^a-z]', '', 'g')"
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(133) || chr(160) || chr(12288)"
 
@@ -243,6 +286,18 @@ FROM (SELECT doc_id, w, unnest(generate_series(0, CAST(greatest(ceil((length(w)
     "native_windows": f"""
 SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, substr(w, i * {WINDOW} + 1, {WINDOW}) AS chunk
 FROM (SELECT doc_id, w, unnest(generate_series(0, (length(w) - 1) // {WINDOW})) AS i FROM (SELECT doc_id, {_WORDS} AS w FROM documents) WHERE w <> '')""",
+    "word_windows": f"""
+SELECT doc_id, CAST(generate_subscripts(c, 1) - 1 AS INTEGER) AS chunk_index, unnest(c) AS chunk
+FROM (SELECT doc_id, {_groups("w", WORDS_A_WINDOW, "' '")} AS c FROM ({_PLAIN}) WHERE len(w) > 0)""",
+    "sentence_windows": f"""
+WITH s AS (SELECT doc_id, {_groups("w", SENTENCE, "' '", "upper(({})[1]) || ({})[2:] || '.'")} AS w FROM ({_PLAIN}) WHERE len(w) > 0)
+SELECT doc_id, CAST(generate_subscripts(c, 1) - 1 AS INTEGER) AS chunk_index, unnest(c) AS chunk
+FROM (SELECT doc_id, {_groups("w", SENTENCES, "' '")} AS c FROM s)""",
+    "paragraph_windows": f"""
+WITH l AS (SELECT doc_id, {_groups("w", LINE, "' '")} AS w FROM ({_PLAIN}) WHERE len(w) > 0),
+p AS (SELECT doc_id, {_groups("w", PARAGRAPH, "chr(10)")} AS w FROM l)
+SELECT doc_id, CAST(generate_subscripts(c, 1) - 1 AS INTEGER) AS chunk_index, unnest(c) AS chunk
+FROM (SELECT doc_id, {_groups("w", PARAGRAPHS, "chr(10) || chr(10)")} AS c FROM p)""",
     "line_packing": f"""
 WITH RECURSIVE d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
 r AS (
@@ -297,6 +352,9 @@ QUERIES = {
         fixed_windows,
         fixed_windows_overlap,
         native_windows,
+        word_windows,
+        sentence_windows,
+        paragraph_windows,
         line_packing,
         line_packing_all,
         newline_runs,
