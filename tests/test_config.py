@@ -34,6 +34,8 @@ def test_fits():
 def test_errors():
     with pytest.raises(CapacityError, match="Max chunk size must be greater than or equal to the desired chunk size"):
         Capacity(5).with_max(4)
+    with pytest.raises(CapacityError):
+        Capacity(5).with_max(-1)
     for overlap in (5, 6):
         with pytest.raises(OverlapError, match="larger than or equal to the desired chunk capacity"):
             ChunkConfig(Capacity(5, 10)).with_overlap(overlap)

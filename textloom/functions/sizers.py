@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
 from typing import Any, Protocol, runtime_checkable
 
@@ -64,16 +64,15 @@ def _hf(source: str, is_path: bool) -> Any:
 
 
 @lru_cache(maxsize=8)
-def _tiktoken(source: str, pattern: str | None) -> Any:
+def _tiktoken(source: str, pattern: str | None, ranks: bytes | None) -> Any:
     import base64
 
     import tiktoken
 
-    if pattern is None:
+    if pattern is None or ranks is None:
         return tiktoken.encoding_for_model(source)
-    with open(source, "rb") as f:
-        ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, f)}
-    return tiktoken.Encoding(source, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    table = {base64.b64decode(t): int(r) for t, r in map(bytes.split, ranks.splitlines())}
+    return tiktoken.Encoding(source, pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
 
 @dataclass(frozen=True)
@@ -106,14 +105,21 @@ def _unpadded(encoding: Any, pad: int | None) -> int:
 class Tiktoken:
     """Tokens of a tiktoken model, or of a rank file with its split pattern.
 
-    Special strings in the text are ordinary text.
+    A file is read here, once, and its content sent along to the workers.  Special
+    strings in the text are ordinary text.
     """
 
     source: str
     pattern: str | None = None
+    ranks: bytes | None = field(default=None, repr=False)
+
+    def __post_init__(self) -> None:
+        if self.pattern is not None and self.ranks is None:
+            with open(self.source, "rb") as f:
+                object.__setattr__(self, "ranks", f.read())
 
     def size(self, text: str) -> int:
-        return len(_tiktoken(self.source, self.pattern).encode_ordinary(text))
+        return len(_tiktoken(self.source, self.pattern, self.ranks).encode_ordinary(text))
 
 
 def sizer_of(value: Any) -> Any:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,7 +80,27 @@ def markdown_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def code_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return CodeChunker("python", 512).explode(dealt(spark, sf_dir))
+    """Python source made of the documents' words, by its syntax tree."""
+    return CodeChunker("python", 512).explode(python_source(spark, sf_dir))
+
+
+def capacity_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of each document under capacities given in several ways."""
+    forms = {"slice": slice(None, 513), "range": range(256, 513), "pair": (256, 512), "up_to": Capacity.up_to(512)}
+    text = dealt(spark, sf_dir)
+    found = [TextChunker(value).explode(text).select("doc_id", F.lit(name).alias("form")) for name, value in forms.items()]
+    return reduce(DataFrame.union, found).groupBy("doc_id", "form").agg(F.count("*").alias("chunks"))
+
+
+def markdown_chunks_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return MarkdownChunker((256, 512), overlap=64).explode(dealt(spark, sf_dir))
+
+
+def markdown_chunks_tiktoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    chunker = MarkdownChunker.from_tiktoken_model(public_tokenizers.path("byte_bpe_50k.tiktoken"), 256, pattern=public_tokenizers.PATTERN)
+    return chunker.explode(dealt(spark, sf_dir))
 
 
 def chunk_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,6 +188,29 @@ def _grouped(size: int, join: str, shape=lambda part: part) -> Column:
     return F.transform(F.sequence(F.lit(0), F.expr(f"(n - 1) div {size}")), lambda i: shape(F.array_join(F.slice("w", i * size + 1, size), join)))
 
 
+#: Words of a function, functions of a chunk.
+FUNCTION, FUNCTIONS = 8, 2
+
+
+def python_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's words as Python source: a function for every few of them."""
+    function = lambda s: F.concat(F.lit("def f():\n    return '"), s, F.lit("'"))
+    return plain_words(spark, sf_dir).select("doc_id", F.array_join(_grouped(FUNCTION, " ", function), "\n\n\n").alias("text"))
+
+
+def code_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions are kept whole: as many as fit go together."""
+    chunker = CodeChunker("python", (FUNCTION + 3) * FUNCTIONS, sizer=Words())
+    return chunker.explode(python_source(spark, sf_dir)).select("doc_id", "chunk_index", "chunk")
+
+
+def markdown_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of a heading and a paragraph: each chunk begins with its heading."""
+    section = lambda s: F.concat(F.lit("# "), F.substring(s, 1, 1), F.lit("\n\n"), s)
+    text = plain_words(spark, sf_dir).select("doc_id", F.array_join(_grouped(FUNCTION, " ", section), "\n\n").alias("text"))
+    return MarkdownChunker(FUNCTION + 2, sizer=Words()).explode(text).select("doc_id", "chunk_index", "chunk")
+
+
 def word_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text without any mark is cut between words."""
     text = plain_words(spark, sf_dir).select("doc_id", F.array_join("w", " ").alias("text"))
@@ -298,6 +342,13 @@ WITH l AS (SELECT doc_id, {_groups("w", LINE, "' '")} AS w FROM ({_PLAIN}) WHERE
 p AS (SELECT doc_id, {_groups("w", PARAGRAPH, "chr(10)")} AS w FROM l)
 SELECT doc_id, CAST(generate_subscripts(c, 1) - 1 AS INTEGER) AS chunk_index, unnest(c) AS chunk
 FROM (SELECT doc_id, {_groups("w", PARAGRAPHS, "chr(10) || chr(10)")} AS c FROM p)""",
+    "code_windows": f"""
+WITH s AS (SELECT doc_id, {_groups("w", FUNCTION, "' '", "'def f():' || chr(10) || '    return ' || chr(39) || {} || chr(39)")} AS w FROM ({_PLAIN}) WHERE len(w) > 0)
+SELECT doc_id, CAST(generate_subscripts(c, 1) - 1 AS INTEGER) AS chunk_index, unnest(c) AS chunk
+FROM (SELECT doc_id, {_groups("w", FUNCTIONS, "chr(10) || chr(10) || chr(10)")} AS c FROM s)""",
+    "markdown_windows": f"""
+SELECT doc_id, CAST(generate_subscripts(c, 1) - 1 AS INTEGER) AS chunk_index, unnest(c) AS chunk
+FROM (SELECT doc_id, {_groups("w", FUNCTION, "' '", "'# ' || ({})[1] || chr(10) || chr(10) || {}")} AS c FROM ({_PLAIN}) WHERE len(w) > 0)""",
     "line_packing": f"""
 WITH RECURSIVE d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
 r AS (
@@ -342,6 +393,11 @@ QUERIES = {
         text_chunks_huggingface,
         markdown_chunks,
         code_chunks,
+        capacity_forms,
+        markdown_chunks_overlap,
+        markdown_chunks_tiktoken,
+        code_windows,
+        markdown_windows,
         chunk_strings,
         first_chunks,
         udtf_chunks,
