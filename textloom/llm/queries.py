@@ -92,7 +92,7 @@ WITH t AS (SELECT n, name, len(w) AS size, list_distinct({_BIGRAMS}) AS tb
            FROM (SELECT n, name, regexp_extract_all(lower(body), '[\\p{{L}}\\p{{N}}]+') AS w FROM (VALUES {_TEMPLATES}) AS v(n, name, body))),
 d AS (SELECT row_number() OVER () AS rid, doc_id, {_BIGRAMS} AS bg
       FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents)),
-p AS (SELECT rid, n, name, tb, size, bg FROM d JOIN t ON list_has_any(bg, tb)),
+p AS (SELECT rid, n, name, tb, size, bg FROM d JOIN t ON list_has_any(bg, tb) AND len(list_intersect(bg, tb)) * (2 - {licenses.THRESHOLD}) >= {licenses.THRESHOLD} * len(tb) - 1e-9),
 w AS (SELECT rid, n, name, tb, i, list_distinct(bg[i:i + size - 2]) AS a
       FROM (SELECT *, unnest(range(1, greatest(len(bg) - size + 2, 1) + 1)) AS i FROM p)),
 s AS (SELECT rid, n, name, i, 2 * len(list_intersect(a, tb)) / (len(a) + len(tb)) AS dice FROM w),
