@@ -109,9 +109,10 @@ def test_forest_keeps_components():
     assert len({root.get(int(f), int(f)) for f in fps}) == len(set(want))
 
 
-def test_keep_one_of_each_group(spark):
+@pytest.mark.parametrize("broadcast_bytes", [1 << 20, 0])
+def test_keep_one_of_each_group(spark, broadcast_bytes):
     docs = documents(spark, ["a b c d e f g"] * 6 + ["another text altogether, quite unlike"] + [None, ""])
-    kept = simhash.keep_one(docs).collect()
+    kept = simhash.keep_one(docs, broadcast_bytes=broadcast_bytes).collect()
     assert sorted(str(r["doc_id"]) for r in kept) == ["0", "6", "7", "None"]
     assert kept[0].asDict().keys() == docs.first().asDict().keys()
 

@@ -187,6 +187,19 @@ def drop_stored(df: DataFrame) -> None:
             drop_path(df.sparkSession, path)
 
 
+#: Up to so many bytes of row numbers are broadcast, at ROW_BYTES each.
+BROADCAST_BYTES = 32 << 20
+ROW_BYTES = 64
+
+
+def without_rows(numbered_rows: DataFrame, dropped: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The rows whose ``rid`` isn't in ``dropped`` (stored, distinct).  Where these are
+    few, counted, they are sent to the rows, so that texts don't move; else both are
+    shuffled by ``rid``, which is never skewed."""
+    few = dropped.count() * ROW_BYTES <= broadcast_bytes
+    return numbered_rows.join(F.broadcast(dropped) if few else dropped, "rid", "left_anti")
+
+
 def hash_row(share: float, *columns: str) -> Column:
     """Whether a row is in a sample of ``share`` that is the same in every attempt."""
     return F.pmod(F.xxhash64(*columns), F.lit(1 << 40)) < int(share * (1 << 40)) + (share >= 1)

@@ -33,12 +33,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import SALTS, numbered, originals, pick_numbered, stored
+from textloom.llm.common import BROADCAST_BYTES, SALTS, numbered, originals, pick_numbered, stored, without_rows
 
 WORDS = 5
 THRESHOLD = 0.8
-#: Up to so many bytes of sketches, or of items' shingles, are broadcast.
-BROADCAST_BYTES = 32 << 20
 #: Size partitions: an item has fewer than 2 ** 31 shingles.
 PARTS = 31
 
@@ -159,6 +157,4 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRE
     plain = numbered(docs)
     bad = _contaminated(plain, docs.columns.index(id_col), docs.columns.index(text_col), items, threshold, item_id_col, item_text_col, broadcast_bytes)
     bad = stored(bad.select("rid").distinct(), "contaminated")
-    # rows' numbers, some 64 bytes each where they are broadcast
-    some = F.broadcast(bad) if bad.count() * 64 <= broadcast_bytes else bad
-    return plain.join(some, "rid", "left_anti").select(*originals(docs))
+    return without_rows(plain, bad, broadcast_bytes).select(*originals(docs))

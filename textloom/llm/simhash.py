@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import RID, numbered, originals, spread_join, stored, trimmed, utf8
+from textloom.llm.common import BROADCAST_BYTES, RID, numbered, originals, spread_join, stored, trimmed, utf8, without_rows
 from textloom.llm.components import components
 
 SEED = 42
@@ -229,7 +229,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return _near_duplicates(numbered(docs), docs.columns.index(id_col), docs.columns.index(text_col))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The rows of ``docs`` without all but one of each component: its smallest
     id's first row (of null ids, any one row that is the same in every attempt).
     All columns stay, whatever their names."""
@@ -237,4 +237,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     marked = stored(_near_duplicates(plain, docs.columns.index(id_col), docs.columns.index(text_col)), "near-duplicates")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")
     kept = marked.groupBy("root").agg(first).select(F.col("first.rid").alias("rid"))
-    return plain.join(kept, "rid", "left_semi").select(*originals(docs))
+    dropped = stored(marked.select("rid").join(kept, "rid", "left_anti"), "duplicates")
+    return without_rows(plain, dropped, broadcast_bytes).select(*originals(docs))
