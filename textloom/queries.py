@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom import streaming
-from textloom.functions.config import Capacity
+from textloom.functions.config import Capacity, ChunkConfig
 from textloom.functions.sizers import Bytes, Words
 from textloom.operators import native
 from textloom.operators.chunkers import CodeChunker, MarkdownChunker, TextChunker
@@ -88,7 +88,7 @@ def capacity_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of each document under capacities given in several ways."""
     forms = {"slice": slice(None, 513), "range": range(256, 513), "pair": (256, 512), "up_to": Capacity.up_to(512)}
     text = dealt(spark, sf_dir)
-    found = [TextChunker(value).explode(text).select("doc_id", F.lit(name).alias("form")) for name, value in forms.items()]
+    found = [TextChunker.from_config(ChunkConfig(value)).explode(text).select("doc_id", F.lit(name).alias("form")) for name, value in forms.items()]
     return reduce(DataFrame.union, found).groupBy("doc_id", "form").agg(F.count("*").alias("chunks"))
 
 
