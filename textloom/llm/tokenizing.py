@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from array import array
 from functools import lru_cache
@@ -20,11 +21,14 @@ import numpy as np
 
 #: Entries of the word memo: frequent words settle in ``_kept``, later ones
 #: pass through ``_recent``, which is emptied when full.
-MEMO_WORDS = 100_000
+MEMO_WORDS = 125_000
 RECENT_WORDS = 25_000
+MEMO_PIECES = 100_000
 
 #: The configuration under which words can be encoded alone.
 WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: The same for lower-cased ASCII.
+ASCII_PATTERN = rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+"
 WORD_NORMALIZERS = [
     {"type": "NFC"},
     {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
@@ -111,30 +115,34 @@ class WordEncoder(LibraryEncoder):
         self.special = [t["content"].lower().encode() for t in spec.get("added_tokens") or []]
         self.mark = b"<" if self.special and all(s[:1] == b"<" for s in self.special) else b""
         self.pieces = regex.compile(WORD_PATTERN).findall
+        self.ascii_pieces = re.compile(ASCII_PATTERN).findall
         self.bytes_to_chars = byte_table()
         self.tokenize = self.tok.model.tokenize
         self._kept: dict[bytes, bytes] = {}
         self._recent: dict[bytes, bytes] = {}
-        self._pieces: dict[str, bytes] = {}
+        self._pieces: dict[bytes, bytes] = {}
+
+    def piece(self, piece: bytes) -> bytes:
+        """The ids of one piece, lower-cased."""
+        ids = self._pieces.get(piece)
+        if ids is None:
+            text = piece.decode("utf-8")
+            shown = text if piece.isascii() and text.isprintable() else piece.decode("latin-1").translate(self.bytes_to_chars)
+            ids = array("I", [t.id for t in self.tokenize(shown)]).tobytes()
+            if len(self._pieces) > MEMO_PIECES:
+                self._pieces.clear()
+            self._pieces[piece] = ids
+        return ids
 
     def word(self, word: bytes) -> bytes:
-        text = word.decode("utf-8")
-        if not word.isascii():
-            text = unicodedata.normalize("NFC", text)
-            if max(text) > LATIN_END or "İ" in text:
-                return self.whole(word)
+        if word.isascii():
+            low = word.lower()
+            return self.piece(low) if low.isalpha() else b"".join(map(self.piece, self.ascii_pieces(low)))
+        text = unicodedata.normalize("NFC", word.decode("utf-8"))
+        if max(text) > LATIN_END or "İ" in text:
+            return self.whole(word)
         text = text.lower()
-        out: list[bytes] = []
-        for piece in [text] if text.isalpha() else self.pieces(text):
-            ids = self._pieces.get(piece)
-            if ids is None:
-                shown = piece if piece.isascii() and piece.isprintable() else piece.encode("utf-8").decode("latin-1").translate(self.bytes_to_chars)
-                ids = array("I", [t.id for t in self.tokenize(shown)]).tobytes()
-                if len(self._pieces) > MEMO_WORDS:
-                    self._pieces.clear()
-                self._pieces[piece] = ids
-            out.append(ids)
-        return b"".join(out)
+        return self.piece(text.encode()) if text.isalpha() else b"".join([self.piece(p.encode()) for p in self.pieces(text)])
 
     def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
         kept, recent = self._kept, self._recent
@@ -155,13 +163,13 @@ class WordEncoder(LibraryEncoder):
         """The ids of each word of ``text``, in order."""
         if self.mark in text and any(s in text.lower() for s in self.special):
             return [self.whole(text)]
-        words = text.split()
-        kept = self._kept
-        try:
-            return [kept[w] for w in words]
-        except KeyError:
-            more = self.learn(set(words).difference(kept))
-            return [more[w] if w in more else kept[w] for w in words]
+        # lower-casing A-Z beforehand makes words alike, but could part a letter from its mark
+        words = text.lower().split() if text.isascii() else text.split()
+        found = list(map(self._kept.get, words))
+        if None in found:
+            more = self.learn({w for w, ids in zip(words, found) if ids is None})
+            found = [more[w] if ids is None else ids for w, ids in zip(words, found)]
+        return found
 
     def ids(self, text: bytes) -> bytes:
         return b"".join(self.parts(text))
