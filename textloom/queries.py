@@ -155,7 +155,7 @@ def offset_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's letters a to z: one long word."""
-    return documents(spark, sf_dir).select("doc_id", F.regexp_replace(F.lower("text"), "[^a-z]", "").alias("text"))
+    return dealt(spark, sf_dir).select("doc_id", F.regexp_replace(F.lower("text"), "[^a-z]", "").alias("text"))
 
 
 def fixed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,7 +180,7 @@ WORDS_A_WINDOW, SENTENCE, SENTENCES, LINE, PARAGRAPH, PARAGRAPHS = 100, 8, 2, 5,
 def plain_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's words of the letters a to z, and their number n."""
     words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w != "")
-    return documents(spark, sf_dir).select("doc_id", words.alias("w")).where(F.size("w") > 0).withColumn("n", F.size("w"))
+    return dealt(spark, sf_dir).select("doc_id", words.alias("w")).where(F.size("w") > 0).withColumn("n", F.size("w"))
 
 
 def _grouped(size: int, join: str, shape=lambda part: part) -> Column:
