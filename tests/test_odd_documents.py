@@ -22,7 +22,7 @@ TEXTS = [
 ]
 
 
-@pytest.mark.parametrize("name", ["offset_check", "reassemble_untrimmed", "fixed_windows", "fixed_windows_overlap"])
+@pytest.mark.parametrize("name", ["offset_check", "line_packing", "reassemble_untrimmed", "fixed_windows", "fixed_windows_overlap"])
 def test_query_equals_sql_on_odd_documents(spark, tmp_path, name):
     path = f"{tmp_path}/documents.parquet"
     spark.createDataFrame([(i, t, "en") for i, t in enumerate(TEXTS)], "doc_id long, text string, lang string").write.parquet(path)

@@ -72,3 +72,23 @@ def fixed_windows(text: Column, size: int, step: int | None = None) -> Column:
     last = F.greatest(F.ceil((n - size) / F.lit(step)), F.lit(0))
     cut = F.transform(F.sequence(F.lit(0), last.cast("int")), lambda i: F.substr(text, i * step + 1, F.lit(size)))
     return F.when(n > 0, cut).otherwise(F.array().cast("array<string>"))
+
+
+def has_bare_lines(text: Column) -> Column:
+    """Whether some line is empty, or begins or ends with white space."""
+    return text.rlike(rf"\A(?:{_SPACE}|\z)|{_SPACE}\n|\n{_SPACE}|{_SPACE}\z|\r")
+
+
+def packed_lines(text: Column, size: int) -> Column:
+    """The lines joined greedily, untrimmed, as far as ``size`` code points hold; a
+    longer line stays alone."""
+
+    def add(state: Column, line: Column) -> Column:
+        more = F.concat(state["last"], F.lit("\n"), line)
+        fits = F.char_length(more) <= size
+        done = F.when(fits, state["done"]).otherwise(F.concat(state["done"], F.array(state["last"])))
+        return F.struct(done.alias("done"), F.when(fits, more).otherwise(line).alias("last"))
+
+    lines = F.split(text, "\n")
+    first = F.struct(F.array().cast("array<string>").alias("done"), F.element_at(lines, 1).alias("last"))
+    return F.aggregate(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), first, add, lambda s: F.concat(s["done"], F.array(s["last"])))
